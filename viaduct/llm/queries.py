@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import audio, langid, packing, tokenbin, urlfilter
+from viaduct.llm import audio, decontam, langid, licenses, linededup, packing, repeats, tokenbin, urlfilter
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -36,9 +36,25 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(spark, tokenbin.write_tokens(_read(spark, sf_dir, "documents")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_audio, op5_token_output, op9_best_fit_packing)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_audio, op5_token_output, op6_license_scan, op7_suffix_repeats, op8_decontamination, op9_best_fit_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
