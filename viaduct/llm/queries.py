@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm import audio, decontam, langid, licenses, linededup, packing, repeats, tokenbin, urlfilter
+from viaduct.llm import audio, decontam, jaccard, langid, licenses, linededup, packing, repeats, tokenbin, urlfilter
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -28,6 +28,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_read(spark, sf_dir, "pages"), RULES)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"), k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.store(_read(spark, sf_dir, "documents")))
 
@@ -56,5 +60,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_media_audio, op5_token_output, op6_license_scan, op7_suffix_repeats, op8_decontamination, op9_best_fit_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_jaccard_join, op4_media_audio, op5_token_output, op6_license_scan, op7_suffix_repeats, op8_decontamination, op9_best_fit_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
