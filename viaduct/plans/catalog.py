@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+import viaduct.plans as plans
+from viaduct.plans.registry import ORACLE_SQL, QUERIES
+
+for module in pkgutil.iter_modules(plans.__path__):
+    if module.name not in ("catalog", "registry"):
+        importlib.import_module(f"viaduct.plans.{module.name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return QUERIES["g01_shortest_distances" if "g01_shortest_distances" in QUERIES else "f26_f29_weights"](spark, sf_dir)
