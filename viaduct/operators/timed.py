@@ -78,3 +78,23 @@ def off_peak(buckets: Column, per_hour: int, least: int = 5) -> Column:
     """23:00 to 05:00 takes the day's best speed; nothing is below ``least``."""
     best = F.array_max(buckets)
     return F.transform(buckets, lambda x, i: F.greatest(F.lit(least).cast("bigint"), F.when((i >= 23 * per_hour) | (i < 5 * per_hour), best).otherwise(x)))
+
+
+def weight_vector(arcs: DataFrame, lg: DataFrame, speeds: DataFrame, closed: DataFrame, hour: float) -> DataFrame:
+    """``from_arc, to_arc, weight`` at an hour: closed arcs are infinite, camera speeds win over the time of day, the turn cost is added last."""
+    from viaduct.functions import traffic
+
+    factor = 1 + (traffic.time_of_day_factor(F.lit(hour)) - 1) * traffic.congestion_scale(F.col("highway"))
+    own = F.when(F.col("kmh").isNotNull(), F.col("geo_distance") * 3600.0 / F.col("kmh")).otherwise(F.col("travel_time") * factor)
+    rows = arcs.join(speeds, "arc_id", "left").join(closed.withColumn("shut", F.lit(True)), "arc_id", "left")
+    metric = rows.select("arc_id", F.when(F.col("shut"), F.lit(traffic.CLOSED).cast("bigint")).otherwise(traffic.clamp_weight(F.floor(own))).alias("own"))
+    joined = lg.select("from_arc", "to_arc", "turn_cost").join(metric, F.col("to_arc") == F.col("arc_id"))
+    return joined.select("from_arc", "to_arc", F.when(F.col("own") == traffic.CLOSED, F.col("own")).otherwise(traffic.safe_add(F.col("own"), F.col("turn_cost"))).alias("weight"))
+
+
+def fake_traffic(arcs: DataFrame, least_kmh: float, share: float, slow_kmh: float = 5.0, seed: int = 7) -> DataFrame:
+    """``arc_id, kmh``: of the arcs faster than ``least_kmh``, a share, drawn by a hash, is slowed down in ``slowed_kmh``."""
+    kmh = F.col("geo_distance") * 3600.0 / F.col("travel_time")
+    draw = F.pmod(F.xxhash64("arc_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
+    rows = arcs.select("arc_id", kmh.alias("kmh"), draw.alias("draw"))
+    return rows.select("arc_id", "kmh", F.when((F.col("kmh") > least_kmh) & (F.col("draw") < share), slow_kmh).otherwise(F.col("kmh")).alias("slowed_kmh"))

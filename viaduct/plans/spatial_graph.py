@@ -126,13 +126,13 @@ def weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.weak_components(grid.arcs(spark, sf_dir).where("tail div 250 = head div 250").select("tail", "head"))
 
 
-SCC = "e AS (SELECT tail, head FROM arcs WHERE tail // 100 = head // 100 AND tail < 300 AND (head > tail OR tail % 3 = 0))"
+SCC = "e AS (SELECT tail, head FROM arcs WHERE tail // 100 = head // 100 AND tail < 100 AND (head > tail OR tail % 3 = 0))"
 
 
-@query("g22_strong_components", f"{grid.WITH}, {SCC}, n AS (SELECT node_id FROM nodes WHERE node_id < 300), r(a, b) AS (SELECT node_id, node_id FROM n UNION SELECT r.a, e.head FROM r JOIN e ON e.tail = r.b) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query("g22_strong_components", f"{grid.WITH}, {SCC}, n AS (SELECT node_id FROM nodes WHERE node_id < 100), r(a, b) AS (SELECT node_id, node_id FROM n UNION SELECT r.a, e.head FROM r JOIN e ON e.tail = r.b) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = grid.arcs(spark, sf_dir).where("tail div 100 = head div 100 AND tail < 300 AND (head > tail OR tail % 3 = 0)").select("tail", "head")
-    return strong_roots(paths.strong_components(arcs, grid.nodes(spark, sf_dir).where("node_id < 300")))
+    arcs = grid.arcs(spark, sf_dir).where("tail div 100 = head div 100 AND tail < 100 AND (head > tail OR tail % 3 = 0)").select("tail", "head")
+    return strong_roots(paths.strong_components(arcs, grid.nodes(spark, sf_dir).where("node_id < 100")))
 
 
 def strong_roots(found: DataFrame) -> DataFrame:
