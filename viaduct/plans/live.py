@@ -33,12 +33,12 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.smooth_batch(packets.windowed(packets.valid(raw(spark, sf_dir))))
 
 
-@query("z04_z05_confidence", f"WITH {RAW}, l AS (SELECT edge, max(epoch_ms(ts)) AS seen, count(*) AS n FROM v GROUP BY edge), m AS (SELECT max(seen) + 400000 AS t0 FROM l) SELECT edge, CAST(round(1000000 * greatest(0.0, least(1.0, 1 - (t0 - seen - 300000) / 1500000.0::DOUBLE))) AS BIGINT) AS fresh, CAST(round(1000000 * greatest(0.0, least(1.0, 1 - (t0 - seen - 300000) / 1500000.0::DOUBLE)) * least(1.0, n / 10) * 0.5) AS BIGINT) AS blended FROM l, m")
+@query("z04_z05_confidence", f"WITH {RAW}, l AS (SELECT edge, max(epoch_ms(ts)) AS seen, count(*) AS n FROM v GROUP BY edge), m AS (SELECT max(seen) + 400000 AS t0 FROM l) SELECT edge, CAST(round(1000 * greatest(0.0, least(1.0, 1 - (t0 - seen - 300000) / 1500000.0::DOUBLE))) AS BIGINT) AS fresh, CAST(round(1000 * greatest(0.0, least(1.0, 1 - (t0 - seen - 300000) / 1500000.0::DOUBLE)) * least(1.0, n / 10) * 0.5) AS BIGINT) AS blended FROM l, m")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = packets.valid(raw(spark, sf_dir)).groupBy("edge").agg(F.max(F.unix_millis("ts")).alias("at"), F.count("*").alias("n"))
     now = last.agg((F.max("at") + 400_000).alias("now"))
     age = F.col("now") - F.col("at")
-    micro = lambda x: F.round(1_000_000 * x).cast("bigint")
+    micro = lambda x: F.round(1000 * x).cast("bigint")
     return last.join(F.broadcast(now)).select("edge", micro(packets.freshness(age)).alias("fresh"), micro(packets.confidence(age, F.col("n"), F.lit(0.5))).alias("blended"))  # now is one row
 
 
