@@ -86,7 +86,7 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(whole), np.uint64)
     for o in range(ORDER):
         shifted = np.zeros_like(whole)
-        shifted[o:] = whole[: len(whole) - o] if o else whole
+        shifted[o:] = whole[: max(len(whole) - o, 0)]
         code = code | np.where(room >= o, shifted, np.uint64(2)) << np.uint64(8 * o)
         slots[o] = (mix(code) & np.uint64(SLOTS - 1)).astype(np.int64) if o > 1 else code.astype(np.int64)
     return slots, sizes
