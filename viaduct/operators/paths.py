@@ -71,6 +71,60 @@ def distances(arcs: DataFrame, sources: DataFrame, cell_nodes: int = CELL_NODES,
             return state
 
 
+def arrivals(arcs: DataFrame, sources: DataFrame, depart: int, period: int = 86_400_000, cell_nodes: int = CELL_NODES) -> DataFrame:
+    """``source, node, arrival``: earliest arrivals over ``tail, head, ttf ARRAY<STRUCT<dt, tt>>`` when leaving at ``depart``.
+
+    The same rounds over cells as ``distances``; a label is a time and an arc adds its travel time at that time, by integer
+    interpolation. Functions must keep the order of departures.
+    """
+    import bisect
+
+    graph = arcs.select(F.expr(f"tail div {cell_nodes}").alias("cell"), "tail", "head", F.transform("ttf", lambda p: p["dt"]).alias("dts"), F.transform("ttf", lambda p: p["tt"]).alias("tts"))
+
+    def settle(seeds: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple[int, int, int, bool]] = []
+        after = defaultdict(list)
+        for t, h, dts, tts in zip(inner["tail"].tolist(), inner["head"].tolist(), inner["dts"], inner["tts"], strict=True):
+            after[t].append((h, list(dts), list(tts)))
+        for source, part in seeds.groupby("source"):
+            own = int(part["cell"].iloc[0])
+            best: dict[int, int] = {}
+            out: dict[int, int] = {}
+            heap = list(zip(part["arrival"].tolist(), part["node"].tolist(), strict=True))
+            heapq.heapify(heap)
+            while heap:
+                d, v = heapq.heappop(heap)
+                if d >= best.get(v, 1 << 62):
+                    continue
+                best[v] = d
+                for h, dts, tts in after[v]:
+                    t = d % period
+                    i = bisect.bisect_right(dts, t) - 1
+                    j = (i + 1) % len(dts)
+                    end = dts[j] if j else period
+                    e = d + int(tts[i] + (tts[j] - tts[i]) * (t - dts[i]) // (end - dts[i]))
+                    if h // cell_nodes != own:
+                        out[h] = min(e, out.get(h, 1 << 62))
+                    elif e < best.get(h, 1 << 62):
+                        heapq.heappush(heap, (e, h))
+            rows += [(source, v, d, True) for v, d in best.items()] + [(source, v, d, False) for v, d in out.items()]
+        return pd.DataFrame(rows, columns=["source", "node", "arrival", "inside"])
+
+    seeds = sources.select("source", F.col("source").alias("node"), F.lit(depart).cast("bigint").alias("arrival"))
+    state = None
+    while True:
+        work = seeds.withColumn("cell", F.expr(f"node div {cell_nodes}"))
+        found = work.groupBy("cell").cogroup(graph.groupBy("cell")).applyInPandas(settle, "source bigint, node bigint, arrival bigint, inside boolean")
+        if state is not None:
+            found = found.union(state.withColumn("inside", F.lit(True)))
+        merged = found.groupBy("source", "node").agg(F.min("arrival").alias("arrival"), F.min(F.when(F.col("inside"), F.col("arrival"))).alias("known"))
+        merged = materialize(merged, "arrivals")
+        state = merged.select("source", "node", "arrival")
+        seeds = merged.where("known is null or arrival < known").select("source", "node", "arrival")
+        if seeds.isEmpty():
+            return state
+
+
 def nearest_targets(dist: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """``source, node, dist, rank``: the k nearest targets of every source; ties by id."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy("dist", "node")).cast("bigint")

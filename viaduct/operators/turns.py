@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from viaduct.functions import geo
 
-ORDER = Window.partitionBy("route_id").orderBy("pos")
 FIELDS = ("route_id", "pos", "direction", "angle", "at_m", "degree", "roundabout")
 SLIGHT, SHARP, U_TURN, STRAIGHT, NEAR_M = 40.0, 110.0, 155.0, 20.0, 50.0
 
 
+def _order():
+    return Window.partitionBy("route_id").orderBy("pos")
+
+
 def _islands(rows: DataFrame, member) -> DataFrame:
     """Rows with ``island``: consecutive members share one, every other row has its own."""
-    before = F.coalesce(F.lag(member).over(ORDER), F.lit(False))
+    before = F.coalesce(F.lag(member).over(_order()), F.lit(False))
     fresh = F.when(member & before, 0).otherwise(1)
-    return rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(ORDER)).drop("fresh")
+    return rows.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(_order())).drop("fresh")
 
 
 def drop_bends(rows: DataFrame) -> DataFrame:
@@ -46,15 +49,15 @@ def collapse_roundabouts(rows: DataFrame) -> DataFrame:
 
 def with_distances(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """Adds ``to_next_m``: the first turn counts from the start, the last one to the route's ``length_m``."""
-    start = F.when(F.row_number().over(ORDER) == 1, 0.0).otherwise(F.col("at_m"))
-    end = F.coalesce(F.lead("at_m").over(ORDER), F.col("length_m"))
+    start = F.when(F.row_number().over(_order()) == 1, 0.0).otherwise(F.col("at_m"))
+    end = F.coalesce(F.lead("at_m").over(_order()), F.col("length_m"))
     return rows.join(lengths, "route_id").withColumn("to_next_m", end - start).drop("length_m")
 
 
 def strip_straights(rows: DataFrame) -> DataFrame:
     """Straights hand their distance to the turn before them; those before any turn are kept as one."""
     turn = F.when(F.col("direction") == "straight", 0).otherwise(1)
-    grouped = rows.withColumn("g", F.sum(turn).over(ORDER)).groupBy("route_id", "g")
+    grouped = rows.withColumn("g", F.sum(turn).over(_order())).groupBy("route_id", "g")
     first, last = F.min(F.struct("pos", "direction", "angle", "at_m", "degree", "roundabout")).alias("f"), F.max(F.struct("pos", "at_m")).alias("l")
     out = grouped.agg(first, last, F.sum("to_next_m").alias("to_next_m"), F.sum("angle").alias("sum"))
     lead = F.col("g") == 0
