@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from viaduct.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda x: "null" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    text = lambda x: "null" if pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False, name=None))
 
 
