@@ -2,14 +2,14 @@
 
 Method. Sets of word shingles fall into size bands. Two sets of a band (or of neighbouring ones) that link
 differ in at most d elements, so if a hash deals the domain into d + 1 + s parts, they agree wholly in at
-least s + 1 of them: a signature is the hash of one part of a set. Parts of ``WEAK`` elements or fewer
+least s + 1 of them: a signature is the hash of one part of a set. Parts of few elements (``weak_parts``)
 make poor signatures; a set with at most s of them leaves them out, and still one strong part
 is shared; a set with more signs all its parts. No linked pair is lost.
 
 Copies. Documents with equal sets are one class, and classes are joined. Under each signature the least
 class is compared with all others (a star, not all pairs). Components of these links are found on the
-cluster; then only classes of different components that share a signature are compared with each other, and a
-256-bit sketch of parities, whose Hamming distance never exceeds the true difference, drops nearly all
+cluster; then, in a few rounds, only classes of different components that share a signature are compared with each other, and a
+sketch of parities, a bit an element, whose Hamming distance never exceeds the true difference, drops nearly all
 of these pairs before any set is read. Pairs that are left are compared on their whole sets. So the
 components are exact, while a group of near copies costs about one comparison a member and signature.
 
@@ -19,6 +19,7 @@ id, which may be null). Rows are addressed by a hash of id and text; repeated ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +31,26 @@ from pyspark.sql import functions as F
 from viaduct.llm.batches import blocks, mix, strings, table
 from viaduct.llm.components import components
 from viaduct.llm.skew import split_join
-from viaduct.llm.words import NOT_SPACE, Words, grams
+from viaduct.llm.words import NOT_SPACE, Words, grams, spans
 from viaduct.session import materialize, shuffle_partitions
 
-WEAK = 2  # a part of so few elements or less is a weak signature
-SPARE = 0.25  # so many more parts than the guarantee needs, to leave weak ones out
+SPARES = (0.1, 0.15, 0.2, 0.25, 0.3)  # shares of parts beyond what the guarantee needs, to leave weak ones out
+
+
+def weak_parts(percent: int) -> tuple[int, float]:
+    """How many elements make a weak part at most, and the share of spare parts.
+
+    The largest limit for which a spare share leaves out what is expected of weak parts in a set of random elements,
+    with half as much to spare; 0 (empty parts) always.
+    """
+    per_part = 0.85 * (100 + percent) / (2 * (100 - percent)) if percent < 100 else math.inf
+    for weak in (2, 1, 0):
+        for spare in SPARES:
+            mean = per_part / (1 + spare)
+            expected = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(weak + 1)) if mean < 700 else 0.0
+            if 1.5 * expected <= spare / (1 + spare):
+                return weak, spare
+    return 0, SPARES[-1]
 
 
 @dataclass(frozen=True)
@@ -45,6 +61,7 @@ class Bands:
     low: np.ndarray  # least size of each band
     parts: np.ndarray  # parts of the domain
     spare: np.ndarray  # weak parts that may be left out
+    weak: int  # a part of so few elements or less is a weak signature
 
     @staticmethod
     def of(percent: int, most: int = 1 << 40) -> Bands:
@@ -54,8 +71,9 @@ class Bands:
         high = np.array(low[1:], np.int64) - 1
         # sets that link differ in at most (a + b) (100 - t) / (100 + t) elements
         differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = np.ceil((differ + 1) * SPARE).astype(np.int64) * (differ > 0)
-        return Bands(percent, np.array(low[:-1], np.int64), differ + 1 + spare, spare)
+        weak, share = weak_parts(percent)
+        spare = np.ceil((differ + 1) * share).astype(np.int64) * (differ > 0)
+        return Bands(percent, np.array(low[:-1], np.int64), differ + 1 + spare, spare, weak)
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
@@ -84,11 +102,16 @@ def set_classes(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(total[begin[1:]] - total[begin[:-1]] + size.astype(np.uint64)), np.uint64(0))
 
 
-def signatures(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and hash of every signature of every set."""
+def signatures(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and hash of every signature of every set, and each set's slack.
+
+    A set may do without so many more of its signatures and still share one with every set that links; -1 if
+    even weak parts had to sign.
+    """
     size = np.diff(begin)
     owner_of = np.repeat(np.arange(len(size)), size)
     owners, hashes = [], []
+    slack = np.full(len(size), 1 << 30, np.int64)
     mixed = mix(sets ^ np.uint64(0xC2B2AE3D27D4EB4F))
     own = bands.band(np.maximum(size, 1))
     for up in (0, 1):
@@ -103,49 +126,102 @@ def signatures(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.nd
         np.add.at(total, slot, mixed[element])
         n = np.bincount(slot, minlength=len(total))
         doc = np.repeat(np.arange(len(size)), parts)
-        weak = n <= WEAK
-        many = np.bincount(doc[weak], minlength=len(size)) > bands.spare[band]
+        weak = n <= bands.weak
+        left = bands.spare[band] - np.bincount(doc[weak], minlength=len(size))
+        many = left < 0
+        slack = np.where(live, np.minimum(slack, np.maximum(left, -1)), slack)
         keep = np.flatnonzero(~weak | many[doc])
         part = (keep - base[doc[keep]]).astype(np.uint64)
         hashes.append(mix(total[keep] + mix(part << np.uint64(8) | band[doc[keep]].astype(np.uint64))))
         owners.append(doc[keep])
-    return np.concatenate(owners), np.concatenate(hashes)
+    return np.concatenate(owners), np.concatenate(hashes), slack
+
 
+LEAST_BITS, PAIRS = 256, 500_000
 
-def sketches(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """256 parity bits of each set, as rows of 32 bytes: two sets' distance is at most the number of elements they differ in."""
+
+def sketches(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """Parity bits of each set, the next power of two above twice its size: two sets' distance is at most the number of elements they differ in."""
     size = np.diff(begin)
-    bit = (mix(sets ^ np.uint64(0x165667B19E3779F9)) & np.uint64(255)).astype(np.int64)
-    odd = np.bincount(np.repeat(np.arange(len(size)), size) * 256 + bit, minlength=256 * len(size)) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(size)), size)
+    place = base[owner] + (mix(sets ^ np.uint64(0x165667B19E3779F9)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    whole = np.packbits((np.bincount(place, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [whole[s // 8 : e // 8] for s, e in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+class Sketches:
+    """Sketches of many sets in one buffer."""
+
+    def __init__(self, rows: list[bytes]):
+        self.words = np.frombuffer(b"".join(rows), np.uint64)
+        self.size = np.array([len(r) // 8 for r in rows], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Hamming distances of pairs of rows; the longer sketch is folded to the shorter one's length."""
+        out = np.zeros(len(x), np.int64)
+        kind = np.maximum(self.size[x], self.size[y]) << 32 | np.minimum(self.size[x], self.size[y])
+        for k in np.unique(kind).tolist():
+            long, short = k >> 32, k & 0xFFFFFFFF
+            at = np.flatnonzero(kind == k)
+            swap = self.size[x[at]] < self.size[y[at]]
+            for part in np.array_split(np.arange(len(at)), 1 + len(at) * long // (1 << 21)):
+                i, j = np.where(swap, y[at], x[at])[part], np.where(swap, x[at], y[at])[part]
+                a, b = self.words[self.start[i][:, None] + np.arange(long)], self.words[self.start[j][:, None] + np.arange(short)]
+                while a.shape[1] > short:
+                    half = a.shape[1] // 2
+                    a = a[:, :half] ^ a[:, half:]
+                out[at[part]] = np.bitwise_count(a ^ b).sum(axis=1)
+        return out
 
 
-def may_link(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes a, b and sketches x, y can link."""
-    small, large = np.minimum(a, b), np.maximum(a, b)
-    far = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=-1)
-    return (100 * small >= percent * large) & (far <= (a + b) * (100 - percent) // (100 + percent))
+COARSE_BYTES = 64
 
 
-BROADCAST_ROWS, TILE = 500_000, 1024
-SETS = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
+def coarse(sketch: bytes) -> bytes:
+    """A quarter of a sketch's length, but ``COARSE_BYTES`` at least: what travels with every member of a signature."""
+    words = np.frombuffer(sketch, np.uint64)
+    for _ in range(2):
+        if 8 * len(words) > COARSE_BYTES:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words.tobytes()
+
+
+def most_apart(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """In how many elements sets of sizes a, b that link can differ."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def may_link(n: np.ndarray, sketch: Sketches, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of rows x, y those whose sets, of sizes n, can link, with their distances in sketches."""
+    near = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+    x, y = x[near], y[near]
+    far = sketch.distance(x, y)
+    ok = far <= most_apart(n[x], n[y], percent)
+    return x[ok], y[ok], far[ok]
+
+
+BROADCAST_ROWS, HEAVY, FORESTS = 500_000, 32, 1
+SETS = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def describe(batches):
         for batch in blocks(batches, "text"):
             sets, begin = shingle_sets(*strings(batch.column("text")), k)
-            sketch = sketches(sets, begin).tobytes()
-            yield table(SETS, batch.column("doc_id"), batch.column("doc"), np.diff(begin), set_classes(sets, begin).view(np.int64), pa.array([sketch[i : i + 32] for i in range(0, len(sketch), 32)], pa.binary()))
+            found = sketches(sets, begin)
+            yield table(SETS, batch.column("doc_id"), batch.column("doc"), np.diff(begin), set_classes(sets, begin).view(np.int64), pa.array(found, pa.binary()), pa.array(map(coarse, found), pa.binary()))
 
-    return docs.mapInArrow(describe, "doc_id bigint, doc bigint, n bigint, cls bigint, sketch binary")
+    return docs.mapInArrow(describe, "doc_id bigint, doc bigint, n bigint, cls bigint, sketch binary, coarse binary")
 
 
 def _stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``sig, head, cls``: under each signature the least class and every other one."""
+    """``sig, head, cls, slack, head_slack``: under each signature the least class and every other one."""
     bands = Bands.of(percent)
-    signed = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
-    starred = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("cls", pa.int64())])
+    signed = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("slack", pa.int32())])
+    starred = pa.schema([("sig", pa.int64()), ("head", pa.int64()), ("cls", pa.int64()), ("slack", pa.int32()), ("head_slack", pa.int32())])
 
     def sign(batches):
         for batch in blocks(batches, "text"):
@@ -155,31 +231,64 @@ def _stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
             once[np.unique(cls, return_index=True)[1]] = True  # copies in the block sign once
             keep = np.repeat(once, np.diff(begin))
             sizes = np.where(once, np.diff(begin), 0)
-            owner, sig = signatures(sets[keep], np.concatenate([[0], np.cumsum(sizes)]), bands)
-            yield table(signed, sig.view(np.int64), cls[owner].view(np.int64))
+            owner, sig, slack = signatures(sets[keep], np.concatenate([[0], np.cumsum(sizes)]), bands)
+            yield table(signed, sig.view(np.int64), cls[owner].view(np.int64), slack[owner])
 
     def star(batches: Iterator[pa.RecordBatch]):
-        last = None  # signature, its head, the last class
+        last = None  # signature, its head, the head's slack, the last class
         for batch in batches:
-            sig, cls = batch.column("sig").to_numpy(), batch.column("cls").to_numpy()
+            sig, cls, slack = (batch.column(c).to_numpy() for c in signed.names)
             if not len(sig):
                 continue
             first = np.ones(len(sig), bool)
             first[1:] = sig[1:] != sig[:-1]
             same = np.zeros(len(sig), bool)
             same[1:] = ~first[1:] & (cls[1:] == cls[:-1])
-            head = cls[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+            at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
+            head, head_slack = cls[at], slack[at]
             if last is not None and last[0] == sig[0]:
                 stop = int(np.flatnonzero(first)[1]) if first.sum() > 1 else len(sig)
-                head[:stop] = last[1]
-                first[0], same[0] = False, last[2] == cls[0]
-            last = (sig[-1], head[-1], cls[-1])
+                head[:stop], head_slack[:stop] = last[1], last[2]
+                first[0], same[0] = False, last[3] == cls[0]
+            last = (sig[-1], head[-1], head_slack[-1], cls[-1])
             keep = ~first & ~same
-            yield table(starred, sig[keep], head[keep], cls[keep])
+            yield table(starred, sig[keep], head[keep], cls[keep], slack[keep], head_slack[keep])
 
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(sign, "sig bigint, cls bigint")
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(star, "sig bigint, head bigint, cls bigint")
+    rows = docs.select("text").mapInArrow(sign, "sig bigint, cls bigint, slack int")
+    return rows.repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(star, "sig bigint, head bigint, cls bigint, slack int, head_slack int")
+
+
+def _members(stars: DataFrame) -> DataFrame:
+    """``sig, cls``: the places at which members still have to be compared with each other (the head is done).
+
+    A signature of more than ``HEAVY`` classes is heavy, such as one that a common passage makes by itself. A class that
+    can spare all its heavy signatures shares a light one with all its links, so under heavy signatures only
+    the others are compared. Whether a signature is heavy is the same for all its members.
+    """
+    big = stars.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("sig")
+    big = materialize(big, "jaccard-heavy")
+    hot = materialize(stars.join(big, "sig", "left_semi"), "jaccard-heavy-rows")
+    light = stars.join(big, "sig", "left_anti").select("sig", "cls")
+    places = hot.select("cls", "slack").union(hot.select("head", "head_slack", "sig").distinct().select("head", "head_slack"))
+    over = places.groupBy("cls").agg(F.count("*").alias("n"), F.min("slack").alias("slack")).where("n > slack").select("cls")
+    return light.union(hot.select("sig", "cls").join(over, "cls", "left_semi").select("sig", "cls"))
+
+
+def _pruned(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes ``a, b`` that can link by size and whole sketch."""
+    a, b = (info.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def prune(batches):
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+            sketch = Sketches(batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist())
+            x, _, _ = may_link(n, sketch, np.arange(m), np.arange(m) + m, percent)
+            yield table(schema, batch.column("a").take(pa.array(x)), batch.column("b").take(pa.array(x)))
+
+    return pairs.join(b, "b").join(a, "a").mapInArrow(prune, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
@@ -192,12 +301,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percen
     schema = pa.schema([("cls", pa.int64()), ("elements", pa.binary())])
 
     def elements(batches):
+        seen: set[int] = set()
         for batch in blocks(batches, "text"):
+            fresh = [c not in seen and not seen.add(c) for c in batch.column("cls").to_pylist()]  # repeated rows once a task
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             sets, begin = shingle_sets(*strings(batch.column("text")), k)
             raw, at = sets.tobytes(), (begin * 8).tolist()
             yield table(schema, batch.column("cls"), pa.array([raw[s:e] for s, e in zip(at, at[1:], strict=False)], pa.binary()))
 
-    sets = materialize(chosen.mapInArrow(elements, "cls bigint, elements binary"), "jaccard-sets").dropDuplicates(["cls"])
+    sets = materialize(chosen.mapInArrow(elements, "cls bigint, elements binary"), "jaccard-sets")
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -213,53 +325,82 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percen
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components under one signature that can link; tile by tile of each bucket."""
+def _forest(root: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Of the pairs x, y those that join new components, the relatively nearest pairs first."""
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    keep = []
+    for i in np.argsort(far / (n[x] + n[y]), kind="stable").tolist():
+        a, b = find(int(root[x[i]])), find(int(root[y[i]]))
+        if a != b:
+            parent[a] = b
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _bucket_pairs(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same signature, rows being sorted by it, in blocks of some ``PAIRS``."""
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    head = np.flatnonzero(first)
+    end = np.repeat(np.append(head[1:], len(sig)), np.diff(np.append(head, len(sig))))
+    later = end - np.arange(len(sig)) - 1  # partners behind each row
+    total = np.cumsum(later)
+    cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + PAIRS, PAIRS)) + 1
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True):
+        rows = np.arange(s, min(e, len(sig)))
+        if len(rows) and later[rows].any():
+            yield np.repeat(rows, later[rows]), spans(rows + 1, later[rows])
+
+
+def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs of classes of different components under one signature that can link.
+
+    ``forest``: only as many as join a batch's components, so that a large group of near copies costs a row a member.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(bucket: list[pa.RecordBatch]):
-        rows = pa.Table.from_batches(bucket)
-        cls, root, n = (rows.column(c).to_numpy() for c in ("cls", "root", "n"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
-        for i in range(0, len(cls), TILE):
-            for j in range(i, len(cls), TILE):
-                x, y = np.arange(i, min(i + TILE, len(cls)))[:, None], np.arange(j, min(j + TILE, len(cls)))[None, :]
-                ok = (x < y) & (root[x] != root[y])
-                x, y = (np.broadcast_to(v, ok.shape)[ok] for v in (x, y))
-                ok = may_link(n[x], n[y], sketch[x], sketch[y], percent)
-                a, b = cls[x[ok]], cls[y[ok]]
-                if len(a):
-                    yield np.minimum(a, b), np.maximum(a, b)
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        sig, cls, root, n = (rows.column(c).to_numpy() for c in ("sig", "cls", "root", "n"))
+        sketch = Sketches(rows.column("sketch").to_pylist())
+        found = [np.zeros((3, 0), np.int64)]
+        for x, y in _bucket_pairs(sig):
+            apart = root[x] != root[y]
+            found.append(np.stack(may_link(n, sketch, x[apart], y[apart], percent)))
+            if forest:
+                x, y, far = np.concatenate(found, axis=1)
+                keep = _forest(root, n, x, y, far)
+                found = [np.stack([x[keep], y[keep], far[keep]])]
+        x, y, _ = np.concatenate(found, axis=1)
+        return table(schema, *np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1))
 
     def buckets(batches):
         held: list[pa.RecordBatch] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        last = None
-
-        def flush():
-            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            found.clear()
-            return table(schema, *np.unique(np.stack([a, b]), axis=1))
-
         for batch in batches:
             sig = batch.column("sig").to_numpy()
-            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s < e:
-                    if held and last != sig[s]:
-                        found += pairs(held)
-                        held = []
-                    held.append(batch.slice(s, e - s))
-                    last = sig[s]
-            if sum(len(f[0]) for f in found) > 200_000:
-                yield flush()
+            if not len(sig):
+                continue
+            # whole signatures only: the last one of a batch waits for its rest
+            other = np.flatnonzero(sig != sig[-1])
+            stop = int(other[-1]) + 1 if len(other) else 0
+            if held and sig[0] == held[-1].column("sig")[0].as_py() and not stop:
+                held.append(batch)
+                continue
+            done = [*held, batch.slice(0, stop)]
+            held = [batch.slice(stop)]
+            if sum(b.num_rows for b in done):
+                yield compare(pa.Table.from_batches(done))
         if held:
-            found += pairs(held)
-        if found:
-            yield flush()
+            yield compare(pa.Table.from_batches(held))
 
     n = shuffle_partitions(members.sparkSession)
-    return members.repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(buckets, "a bigint, b bigint").distinct()
+    columns = ("sig", "cls", "root", "n", "sketch")
+    return members.select(*columns).repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(buckets, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,32 +408,29 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), address.alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(_sets(rows, k), "jaccard-classes")
-    info = sets.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    info = sets.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("coarse").alias("coarse"))
     info = materialize(info, "jaccard-info")
     stars = materialize(_stars(rows, k, percent), "jaccard-stars")
 
-    # stars: the sketch first, then the sets
-    a, b = (info.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    pairs = stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct().join(b, "b").join(a, "a")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def prune(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 4) for c in ("s_a", "s_b"))
-            ok = pa.array(may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), x, y, percent))
-            yield table(schema, batch.column("a").filter(ok), batch.column("b").filter(ok))
-
-    links = materialize(_verified(pairs.mapInArrow(prune, "a bigint, b bigint"), rows, info, k, percent), "jaccard-links")
+    heads = stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    links = materialize(_verified(_pruned(heads, info, percent), rows, info, k, percent), "jaccard-links")
     roots = components(links)
 
-    # what the stars can't tell: members of a bucket that are still apart
-    members = stars.select("sig", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-    members = materialize(members, "jaccard-members")
-    apart = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    rest = _rest(members.join(apart, "sig", "left_semi").join(info.select("cls", "n", "sketch"), "cls"), percent)
-    more = materialize(_verified(rest, rows, info, k, percent), "jaccard-links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    # what the stars can't tell: members of a bucket that are still apart; forests first, then all pairs that are left
+    places = materialize(_members(stars), "jaccard-places")
+    for forest in (*[True] * FORESTS, False):
+        members = places.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        members = materialize(members, "jaccard-members")
+        apart = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+        narrow = info.select("cls", "n", F.col("coarse").alias("sketch"))
+        rest = _rest(members.join(apart, "sig", "left_semi").join(narrow, "cls"), percent, forest)
+        rest = materialize(rest, "jaccard-rest")
+        if rest.isEmpty():
+            break
+        more = materialize(_verified(_pruned(rest, info, percent), rows, info, k, percent), "jaccard-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = components(links)
 
     named = sets.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "doc", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
     named = materialize(named, "jaccard-named")
