@@ -315,3 +315,27 @@ def test_bucket_pairs():
     got = [p for x, y in jaccard._bucket_pairs(sig) for p in zip(x.tolist(), y.tolist(), strict=True)]
     jaccard.PAIRS = before
     assert sorted(got) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
+def test_line_dedup_planted_passages(spark):
+    r = random.Random(12)
+    line = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    table, want, key = [], {}, 0
+    for n_lines in (1, 2, 3, 4):
+        for n_words in (50, 80, 150):
+            passage = [line(n_words // n_lines + (i < n_words % n_lines)) for i in range(n_lines)]
+            for copy in range(3):
+                before, after = [line(r.randrange(1, 90)) for _ in range(2)], [line(r.randrange(1, 90)) for _ in range(2 * (copy < 2))]
+                gap = "\n\n" if copy == 1 else "\n"
+                table.append((key, gap.join(before + passage + after)))
+                kept = gap.join(before + (passage if copy == 0 else []) + after)
+                want[key] = kept if after or copy == 0 else kept + gap
+                key += 1
+    table.append((key, line(49)))
+    table.append((key + 1, table[-1][1]))  # one line of under 50 words is no passage
+    want |= dict(table[-2:])
+    pages = spark.createDataFrame(table, "doc_id bigint, text string")
+    cut, spans = linededup.dedup_lines(pages)
+    found = {x.doc_id: x for x in cut.collect()}
+    assert {k: x.text for k, x in found.items()} == want
+    assert all(len(x[spans] or []) == (k % 3 > 0 and k < key) for k, x in found.items())
