@@ -339,3 +339,12 @@ def test_line_dedup_planted_passages(spark):
     found = {x.doc_id: x for x in cut.collect()}
     assert {k: x.text for k, x in found.items()} == want
     assert all(len(x[spans] or []) == (k % 3 > 0 and k < key) for k, x in found.items())
+
+
+def test_keep_one_null_and_repeated_ids(spark):
+    t = [" ".join(words(60, 900 + i, 10**6)) for i in range(6)]
+    near = t[4] + " tail"
+    table = [(None, t[0]), (None, t[1]), (None, t[1]), (5, t[2]), (5, t[3]), (7, t[4]), (None, near), (3, near), (None, ""), (5, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(table, "doc_id bigint, text string"), 5, 80).collect()
+    want = [(None, t[0]), (None, t[1]), (5, t[2]), (5, t[3]), (3, near), (None, ""), (5, "")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)

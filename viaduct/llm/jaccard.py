@@ -404,7 +404,11 @@ def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, doc, n_shingles, cls, component_id``; ``doc`` addresses the row and ``cls`` its set."""
+    """``doc_id, doc, n_shingles, cls, component_id, keeper``; ``doc`` addresses the row and ``cls`` its set.
+
+    ``component_id`` is the component's least id, which is no key: ids may be null or repeated. ``keeper`` is the address of
+    the component's row with the least id, nulls last, and of those the least address.
+    """
     address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), address.alias("doc"), F.col(text_col).alias("text"))
     sets = materialize(_sets(rows, k), "jaccard-classes")
@@ -434,19 +438,17 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     named = sets.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "doc", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
     named = materialize(named, "jaccard-named")
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
-    least = materialize(least, "jaccard-least")
+    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc")).alias("first"), F.count("*").alias("members"))
+    least = materialize(least.select("root", "component_id", F.col("first.doc").alias("keeper"), "members"), "jaccard-least")
     filled = split_join(named.where("root is not null"), least, ["root"], "members", named.count())
-    out = ["doc_id", "doc", "n_shingles", "cls", "component_id"]
-    return filled.select(*out).union(named.where("root is null").select("doc_id", "doc", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
+    out = ["doc_id", "doc", "n_shingles", "cls", "component_id", "keeper"]
+    return filled.select(*out).union(named.where("root is null").select("doc_id", "doc", "n_shingles", "cls", F.col("doc_id").alias("component_id"), F.col("doc").alias("keeper")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the least id of each component, all columns as they are; of repeated rows one stays."""
     found = join(docs, k, percent, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull())
-    first = kept.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc").alias("__doc")).select("__doc")
-    empty = kept.where("n_shingles = 0").select(F.col("doc").alias("__doc")).distinct()
+    kept = found.where("doc = keeper").select(F.col("doc").alias("__doc")).distinct()
     address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__doc", address).join(first.union(empty), "__doc", "left_semi")
+    joined = docs.withColumn("__doc", address).join(kept, "__doc", "left_semi")
     return joined.dropDuplicates(["__doc"]).select(*docs.columns)
