@@ -348,3 +348,31 @@ def test_keep_one_null_and_repeated_ids(spark):
     kept = jaccard.keep_one(spark.createDataFrame(table, "doc_id bigint, text string"), 5, 80).collect()
     want = [(None, t[0]), (None, t[1]), (5, t[2]), (5, t[3]), (3, near), (None, ""), (5, "")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_url_scores_by_exact_counts(spark):
+    r = random.Random(21)
+    urls = [f"http://{r.choice(['spam', 'site', 'new'])}{r.randrange(40)}.org/{''.join(r.choice('abcdeé/') for _ in range(r.randrange(0, 9)))}" for _ in range(300)]
+    urls[7] = urls[8]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(3)
+    got = {x.page_id: x for x in urlfilter.judge_urls(pages, {}).collect()}
+    gram, context = [dict() for _ in range(2)], [dict() for _ in range(2)]
+    texts = [u.removeprefix("http://").encode() for u in urls]
+    labels = [int("spam" in u) for u in urls]
+    steps = lambda t: [(b"\2" * 4 + t + b"\3")[i : i + 5] for i in range(len(t) + 1)]
+    for t, label in zip(texts, labels, strict=True):
+        for g in steps(t):
+            for o in range(5):
+                for table, part in ((gram, g[4 - o :]), (context, g[4 - o : 4])):
+                    table[label][part] = table[label].get(part, 0) + 1
+    for i, t in enumerate(texts):
+        total = 0.0
+        for g in steps(t):
+            p = [1 / 256, 1 / 256]
+            for o in range(5):
+                p = [(gram[c].get(g[4 - o :], 0) + 4 * p[c]) / (context[c].get(g[4 - o : 4], 0) + 4) for c in (0, 1)]
+            assert max(p) <= 1
+            total += np.log(p[1] / p[0])
+        assert abs(got[i].score - total / (len(t) + 1)) < 1e-6
+    wrong = sum((got[i].verdict == "block") != bool(label) for i, label in enumerate(labels))
+    assert wrong < 15

@@ -1,29 +1,37 @@
 """URL filter: rules first, then a likelihood ratio of two character language models.
 
 Method. Two variable-order Markov models, one of accepted and one of rejected URLs, are counted over the
-characters of host and path. The probability of a character interpolates all context lengths up to
+characters of host and path and an end mark. The probability of a character interpolates all context lengths up to
 ``ORDER - 1``, p_o = (n(context, c) + s p_(o-1)) / (n(context) + s), so a context that was never seen
 leaves the shorter one's estimate. A URL is rejected if its log-likelihood difference a character is above a
 threshold that weighs the two error rates on a calibration fold (a fifth of the URLs, by their hash): a wrongly
 rejected URL counts ``CAUTION`` times as much as a wrongly accepted one.
 
 Rejected URLs are those that a rule blocks, or whose host has one of the ``seeds`` while no rule allows it;
-all others are accepted ones. The counts cover every URL; they are summed by Spark into ``2 * ORDER * SLOTS`` hashed counters
-at most, so the model has the same bounded size at every scale. If a class has no URL, nothing more is blocked.
+all others are accepted ones. The counts are a table keyed by the very characters, which grows with the input and stays on the
+executors. The threshold is set with the counts of the other four fifths; then the counts of all URLs score every
+URL. Both kinds of counts are columns of one table, and URLs meet it in a join that spreads hot grams. If a class has
+no URL, nothing more is blocked.
 
 A null URL, or one without ``://``, has an empty host and path: no rule fits it and it is allowed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.batches import blocks, mix, strings, table
+from viaduct.llm.batches import blocks, strings, table
+from viaduct.llm.skew import split_join
+from viaduct.session import materialize
 
-ORDER, SLOTS, SMOOTH, BINS, CAUTION = 5, 1 << 16, 4.0, 2001, 10.0
+ORDER, SMOOTH, BINS, CAUTION = 5, 4.0, 2001, 10.0
+#: Differences are summed as integers, so a score does not depend on the order of the sum.
+UNIT = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEEDS = ("spam", "casino", "pills", "porn", "viagra", "lottery")
 
@@ -44,98 +52,80 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-class Model:
-    """Counters [class, order, slot] of both models, and the threshold."""
-
-    def __init__(self, counts: np.ndarray, threshold: float = np.inf):
-        self.counts, self.threshold = counts, threshold
-
-    def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Mean log-likelihood difference a character, rejected minus accepted."""
-        slots, sizes = grams(data, at)
-        diff = np.zeros(slots.shape[1])
-        for label, sign in ((0, -1.0), (1, 1.0)):
-            n = self.counts[label]
-            p = np.full(slots.shape[1], 1 / 256)
-            for o in range(ORDER):
-                context = n[o - 1][previous(slots[o - 1])] if o else np.full(slots.shape[1], n[0].sum())
-                p = (n[o][slots[o]] + SMOOTH * p) / (context + SMOOTH)
-            diff += sign * np.log(p)
-        ends = np.cumsum(sizes)
-        total = np.concatenate([[0.0], np.cumsum(diff)])
-        return (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
-
-
-def previous(slots: np.ndarray) -> np.ndarray:
-    """The gram that ends one character earlier: a text's first one has a start mark before it."""
-    return np.concatenate([slots[:1], slots[:-1]])
-
-
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots [order, position] of the grams that end at each position of ``0x02 text 0x03``, and each text's positions."""
-    sizes = np.diff(at) + 2
+    """Codes of the ``ORDER`` bytes up to each position of ``text 0x03``, with 0x02 before the text, and each text's positions; none of empty texts."""
+    sizes = np.diff(at) + (np.diff(at) > 0)
     starts = np.cumsum(sizes) - sizes
-    whole = np.zeros(int(sizes.sum()), np.uint64)
-    whole[starts] = 2
-    whole[starts + sizes - 1] = 3
+    some = sizes > 0
+    whole = np.zeros(int(sizes.sum()), np.int64)
     inner = np.ones(len(whole), bool)
-    inner[starts] = inner[starts + sizes - 1] = False
+    inner[(starts + sizes)[some] - 1] = False
     whole[inner] = data
+    whole[~inner] = 3
     room = np.arange(len(whole)) - np.repeat(starts, sizes)
-    slots = np.empty((ORDER, len(whole)), np.int64)
-    code = np.zeros(len(whole), np.uint64)
+    code = np.zeros(len(whole), np.int64)
     for o in range(ORDER):
         shifted = np.zeros_like(whole)
         shifted[o:] = whole[: max(len(whole) - o, 0)]
-        code = code | np.where(room >= o, shifted, np.uint64(2)) << np.uint64(8 * o)
-        slots[o] = (mix(code) & np.uint64(SLOTS - 1)).astype(np.int64) if o > 1 else code.astype(np.int64)
-    return slots, sizes
+        code |= np.where(room >= o, shifted, 2) << 8 * o
+    return code, sizes
 
 
-def train(urls: DataFrame) -> Model:
-    """Fit both models on ``s`` (host and path) and ``label`` (0 accepted, 1 rejected, else null)."""
-    labelled = urls.where(F.col("label").isNotNull()).select("s", "label", (F.pmod(F.xxhash64("s"), F.lit(5)) == 0).alias("calibrate"))
-    schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+def positions(urls: DataFrame) -> DataFrame:
+    """``id, kind, code`` of every character of ``s``; ``kind`` is twice the label and 1 more in the calibration fold."""
+    schema = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("code", pa.int64())])
 
-    def count(batches):
-        total = np.zeros(2 * ORDER * SLOTS, np.int64)
+    def cut(batches):
         for batch in blocks(batches, "s", 1 << 20):
-            data, at = strings(batch.column("s"))
-            slots, sizes = grams(data, at)
-            label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            for o in range(ORDER):
-                total += np.bincount((label * ORDER + o) * SLOTS + slots[o], minlength=len(total))
-        used = np.flatnonzero(total)
-        yield table(schema, used, total[used])
-
-    sums = labelled.where(~F.col("calibrate")).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()  # at most 2 * ORDER * SLOTS rows
-    counts = np.zeros(2 * ORDER * SLOTS)
-    counts[rows["slot"].to_numpy(np.int64)] = rows["n"]
-    model = Model(counts.reshape(2, ORDER, SLOTS))
-    if not model.counts[0].any() or not model.counts[1].any():
-        return model
-
-    def judge(batches):
-        total = np.zeros(2 * BINS, np.int64)
-        for batch in blocks(batches, "s", 1 << 20):
-            score = np.clip(model.scores(*strings(batch.column("s"))) / 0.01 + BINS // 2, 0, BINS - 1).astype(np.int64)
-            total += np.bincount(batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64) * BINS + score, minlength=2 * BINS)
-        used = np.flatnonzero(total)
-        yield table(schema, used, total[used])
-
-    bins = np.zeros(2 * BINS)
-    for slot, n in labelled.where("calibrate").mapInArrow(judge, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():  # at most 2 * BINS rows
-        bins[slot] = n
-    accepted, rejected = bins[:BINS], bins[BINS:]
-    if accepted.sum() and rejected.sum():
-        # above bin b is rejected: the accepted above it and the rejected up to it, each as a share
-        errors = CAUTION * (1 - np.cumsum(accepted) / accepted.sum()) + np.cumsum(rejected) / rejected.sum()
-        best = np.flatnonzero(errors <= errors.min() + 1e-12)
-        model.threshold = (float(best[len(best) // 2]) - BINS // 2 + 1) * 0.01
-    else:
-        model.threshold = 0.0
-    return model
+            code, sizes = grams(*strings(batch.column("s")))
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield table(schema, batch.column("id").take(row), batch.column("kind").take(row), code)
+
+    kind = (2 * F.col("label") + (F.pmod(F.xxhash64("s"), F.lit(5)) == 0).cast("int")).cast("int")
+    return urls.select("id", kind.alias("kind"), "s").mapInArrow(cut, "id bigint, kind int, code bigint")
+
+
+SETS = ("fit0", "fit1", "all0", "all1")
+
+
+def differences(places: DataFrame) -> tuple[DataFrame, tuple]:
+    """``code, n, fit, all``: the log-likelihood difference, rejected minus accepted, in ``UNIT``, of each code by the counts
+    without the calibration fold and by all counts; and the characters of each of ``SETS``."""
+    count = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
+    counts = places.groupBy("code").agg(F.count("*").alias("n"), count(0).alias("fit0"), count(2).alias("fit1"), count(0, 1).alias("all0"), count(2, 3).alias("all1"))
+    counts = materialize(counts, "url-grams")
+    number, *totals = counts.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in SETS]).first()
+    found = counts.select("code", "n", *[F.lit(1 / 256).alias(f"p_{c}") for c in SETS], *SETS)
+    for o in range(ORDER):
+        # the last o + 1 characters, and the o ones before the last
+        for name, key, size in (("gram", F.col("code"), o + 1), ("context", F.shiftright("code", 8), o)):
+            key = key.bitwiseAND(F.lit((1 << 8 * size) - 1))
+            if size == 0:
+                found = found.select("*", *[F.lit(total).alias(f"{name}_{c}") for c, total in zip(SETS, totals, strict=True)])
+            elif size == ORDER:
+                found = found.select("*", *[F.col(c).alias(f"{name}_{c}") for c in SETS])
+            else:
+                sums = counts.groupBy(key.alias("key")).agg(F.count("*").alias("members"), *[F.sum(c).alias(f"{name}_{c}") for c in SETS])
+                found = split_join(found.withColumn("key", key), sums, ["key"], "members", number).drop("key", "members")
+        better = [((F.col(f"gram_{c}") + SMOOTH * F.col(f"p_{c}")) / (F.col(f"context_{c}") + SMOOTH)).alias(f"p_{c}") for c in SETS]
+        found = materialize(found.select("code", "n", *better, *SETS), "url-models")
+    diff = [F.round((F.log(f"p_{c}1") - F.log(f"p_{c}0")) / UNIT).cast("bigint").alias(c) for c in ("fit", "all")]
+    return found.select("code", "n", *diff), tuple(totals)
+
+
+def threshold_of(calibration: DataFrame) -> float:
+    """The threshold that weighs both errors best, from ``label, score``."""
+    bins = np.zeros((2, BINS))
+    at = F.least(F.greatest(F.floor(F.col("score") / 0.01 + BINS // 2), F.lit(0)), F.lit(BINS - 1)).cast("int")
+    for label, place, n in calibration.groupBy("label", at.alias("place")).count().collect():  # at most 2 * BINS rows
+        bins[label, place] = n
+    accepted, rejected = bins
+    if not (accepted.sum() and rejected.sum()):
+        return 0.0
+    # above bin b is rejected: the accepted above it and the rejected up to it, each as a share
+    errors = CAUTION * (1 - np.cumsum(accepted) / accepted.sum()) + np.cumsum(rejected) / rejected.sum()
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    return (float(best[len(best) // 2]) - BINS // 2 + 1) * 0.01
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -146,14 +136,17 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     decided = F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), F.col("rule")) if rules else F.lit(None).cast("string")
     seeded = F.col("host").rlike("|".join(seeds)) if seeds else F.lit(False)
     urls = urls.withColumn("ruled", decided).withColumn("label", F.when(F.col("ruled") == "allow", 0).when((F.col("ruled") == "block") | seeded, 1).when(F.length("s") > 0, 0))
-    model = train(urls)
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("score", pa.float64())])
-
-    def score(batches):
-        for batch in blocks(batches, "s", 1 << 20):
-            data, at = strings(batch.column("s"))
-            yield table(schema, *(batch.column(c) for c in schema.names[:5]), np.where(np.diff(at) > 0, model.scores(data, at), 0.0))
-
-    scored = urls.select(F.col("page_id").cast("bigint").alias("page_id"), "host", "path", "rule", "ruled", "s").mapInArrow(score, "page_id bigint, host string, path string, rule string, ruled string, score double")
-    verdict = F.coalesce("ruled", F.when((F.col("score") > model.threshold) & (F.length(F.concat("host", "path")) > 0), "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+    urls = materialize(urls.select(F.col("page_id").cast("bigint").alias("page_id"), "host", "path", "rule", "ruled", F.col("label").cast("int").alias("label"), "s", F.monotonically_increasing_id().alias("id")), "urls")
+    places = positions(urls)
+    diffs, totals = differences(places)
+    diffs = materialize(diffs, "url-differences")
+    number = diffs.agg(F.sum("n")).first()[0] or 0
+    mean = lambda c: F.sum(c) * UNIT / F.count("*")
+    scored = split_join(places, diffs, ["code"], "n", number).groupBy("id").agg(F.first("kind").alias("kind"), mean("fit").alias("fit"), mean("all").alias("score"))
+    scored = materialize(scored, "url-scores")
+    threshold = math.inf
+    if totals[0] and totals[1]:
+        threshold = threshold_of(scored.where("kind in (1, 3)").select(F.shiftright("kind", 1).alias("label"), F.col("fit").alias("score")))
+    found = urls.join(scored.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    verdict = F.coalesce("ruled", F.when((F.col("score") > threshold) & (F.length("s") > 0), "block").otherwise("allow"))
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
