@@ -376,3 +376,18 @@ def test_url_scores_by_exact_counts(spark):
         assert abs(got[i].score - total / (len(t) + 1)) < 1e-6
     wrong = sum((got[i].verdict == "block") != bool(label) for i, label in enumerate(labels))
     assert wrong < 15
+
+
+def test_language_id_rejects_what_is_no_language_of_training(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(known, ~queries.held_out())
+    r = random.Random(31)
+    noise = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 10))) for _ in range(60))
+    foreign = [noise("abcdefghijklmnopqrstuvwxyz"), noise("абвгдежзиклмнопрстуфхцчшщ"), noise("的一是不了人我在有他这"), "xqzjk vwqxz " * 20]
+    foreign += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem i sumieniem."]
+    foreign += ["Все люди рождаются свободными и равными в своем достоинстве и правах, они наделены разумом и совестью."]
+    found = langid.predict(spark.createDataFrame(list(enumerate(foreign)), "doc_id bigint, text string"), model).collect()
+    assert [x.doc_id for x in found if x.accepted] == []
+    assert 0.001 < model.temperature < 50
+    own = langid.predict(known.where(queries.held_out()), model).where("lang_pred <> 'und'").toPandas()
+    assert own.accepted.mean() > 0.97

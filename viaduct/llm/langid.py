@@ -5,7 +5,10 @@ space), hashed into ``BUCKETS`` embeddings. The text is the average of its embed
 language. Both are trained by stochastic gradient descent in numpy on the driver, over the sparse features
 of ``TRAIN_ROWS`` labelled rows at most, those with the smallest hash of their id. A fifth of these rows is
 not trained on but calibrates: a temperature for the probabilities, and two limits below which an answer
-is rejected, on the probability and on the share of subwords that training had seen.
+is rejected, on the probability and on the share of subwords that training had seen. What was seen is looked up by
+``SEEN_BITS`` bits of a subword's hash, of which its bucket is the first part, so few unseen subwords pass for seen ones. Each limit
+rejects at most ``FALSE_REJECT`` of the calibration fold, and lies midway between that and what negatives reach if they
+stay below: the same texts with shuffled letters and, for the seen share, the texts of each language as training without it sees them.
 
 Prediction reads the whole text, sums each n-gram's product with the softmax (embedding times weights is
 kept as one table of BUCKETS x languages), and so needs one pass and no shuffle.
@@ -16,6 +19,8 @@ If no row has a label, every text is ``und``.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,13 +30,14 @@ from viaduct.llm.batches import blocks, strings, table
 from viaduct.llm.words import LOWER
 
 BUCKETS, DIM, NGRAMS, TRAIN_ROWS, EPOCHS = 1 << 15, 8, (2, 3, 4), 1500, 5
+SEEN_BITS, FALSE_REJECT = 24, 0.0025
 _codes = np.arange(256)
 #: ASCII letters in lower case and all bytes above; every other byte is a space.
 LETTERS = np.where(((LOWER >= 97) & (LOWER <= 122)) | (_codes >= 128), LOWER, 32).astype(np.uint8)
 
 
 def subwords(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams and, for each text, where its n-grams begin."""
+    """``SEEN_BITS`` bits of all n-grams' hashes and, for each text, where its n-grams begin."""
     size = len(data) - n + 1
     if size <= 0:
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
@@ -48,7 +54,11 @@ def subwords(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     for b in at[1:-1]:
         cross[max(0, b - n + 1) : b] = True  # no n-gram reaches into the next text
     where = np.flatnonzero(good & ~cross)
-    return (code[where] >> np.uint32(32 - 15)).astype(np.int64), np.searchsorted(where, at)
+    return (code[where] >> np.uint32(32 - SEEN_BITS)).astype(np.int64), np.searchsorted(where, at)
+
+
+def bucket_of(seen: np.ndarray) -> np.ndarray:
+    return seen >> SEEN_BITS - 15
 
 
 def has_letters(data: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -61,21 +71,28 @@ def has_letters(data: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray
 
 
 def training_features(rows: DataFrame) -> DataFrame:
-    """``lang, buckets, shares`` of ``text``: at most BUCKETS pairs a row, however long the text."""
-    schema = pa.schema([("lang", pa.string()), ("buckets", pa.binary()), ("shares", pa.binary())])
+    """``lang, grams, shares`` of ``text``, and ``noise, noise_shares`` of the text with shuffled letters."""
+    schema = pa.schema([("lang", pa.string()), ("grams", pa.binary()), ("shares", pa.binary()), ("noise", pa.binary()), ("noise_shares", pa.binary())])
 
     def features(batches):
         for batch in blocks(batches, "text"):
             data, at = strings(batch.column("text"))
             data = LETTERS[data]
-            each = [subwords(data, at, n) for n in NGRAMS]
+            noise = data.copy()
+            for begin, end in zip(at[:-1], at[1:], strict=True):
+                letters = begin + np.flatnonzero(data[begin:end] != 32)
+                noise[letters] = np.random.default_rng(len(letters)).permutation(data[letters])
+            both = [[subwords(x, at, n) for n in NGRAMS] for x in (data, noise)]
             out = []
             for i in range(batch.num_rows):
-                ids, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in each]), return_counts=True)
-                out.append((batch.column("lang")[i].as_py(), ids.astype("<u4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()))
+                row = [batch.column("lang")[i].as_py()]
+                for each in both:
+                    ids, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in each]), return_counts=True)
+                    row += [ids.astype("<u4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()]
+                out.append(row)
             yield table(schema, *zip(*out, strict=True))
 
-    return rows.mapInArrow(features, "lang string, buckets binary, shares binary")
+    return rows.mapInArrow(features, "lang string, grams binary, shares binary, noise binary, noise_shares binary")
 
 
 class Model:
@@ -83,7 +100,7 @@ class Model:
         self.langs = langs
         self.logits = np.zeros((BUCKETS, max(len(langs), 1)), np.float32)  # an n-gram's part in each language's logit
         self.bias = np.zeros(max(len(langs), 1), np.float32)
-        self.seen = np.zeros(BUCKETS, np.float32)
+        self.seen = np.zeros(0, np.int64)  # the grams of the training texts, ascending
         self.temperature, self.least_score, self.least_seen = 1.0, 0.0, 0.0
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
@@ -92,13 +109,21 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def limit(own: np.ndarray, negative: np.ndarray) -> float:
+    """At most ``FALSE_REJECT`` of the calibration texts' values are below; midway to the negatives' if those are lower."""
+    low = float(np.quantile(own, FALSE_REJECT, method="lower"))
+    high = float(np.quantile(negative, 0.99)) if len(negative) else low
+    return (low + high) / 2 if high < low else low
+
+
 def fit(rows: list, seed: int = 7, rate: float = 20.0) -> Model:
-    """Train on ``(lang, buckets, shares)`` rows; every fifth calibrates."""
+    """Train on the rows of ``training_features``; every fifth calibrates."""
     langs = sorted({r[0] for r in rows})
     model = Model(langs)
     if not rows:
         return model
-    x = [(np.frombuffer(r[1], "<u4").astype(np.int64), np.frombuffer(r[2], "<f4")) for r in rows]
+    grams, noise = ([(np.frombuffer(r[c], "<u4").astype(np.int64), np.frombuffer(r[c + 1], "<f4")) for r in rows] for c in (1, 3))
+    x = [(bucket_of(g), share) for g, share in grams]
     y = np.array([langs.index(r[0]) for r in rows])
     held = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~held)
@@ -124,22 +149,28 @@ def fit(rows: list, seed: int = 7, rate: float = 20.0) -> Model:
             for d in range(DIM):
                 embed[:, d] -= step * np.bincount(ids, back[:, d], BUCKETS)
     model.logits, model.bias = (embed @ weights).astype(np.float32), bias
-    for i in train:
-        model.seen[x[i][0]] = 1
+    of_lang = [np.unique(np.concatenate([np.zeros(0, np.int64), *[grams[i][0] for i in train if y[i] == j]])) for j in range(len(langs))]
+    model.seen = np.unique(np.concatenate(of_lang))
     test = np.flatnonzero(held) if held.any() else train
-    logits = np.stack([(x[i][1][:, None] * model.logits[x[i][0]]).sum(axis=0) + bias for i in test])
+    score = lambda ids, share: (share[:, None] * model.logits[ids]).sum(axis=0) + bias
+    logits = np.stack([score(*x[i]) for i in test])
+    # a few wrong answers are taken for possible, or texts that are all named rightly would have no best temperature
+    doubt = 1 / (len(test) + 2)
     best = np.inf
-    for t in np.geomspace(0.05, 5, 41):
+    for t in np.geomspace(0.001, 50, 121):
         model.temperature = t
-        loss = -np.log(np.maximum(model.probabilities(logits)[np.arange(len(test)), y[test]], 1e-12)).mean()
-        if loss < best - 1e-6:
+        logs = np.log(np.maximum(model.probabilities(logits), 1e-300))
+        right = logs[np.arange(len(test)), y[test]]
+        loss = -((1 - doubt) * right + doubt * (logs.sum(axis=1) - right) / max(len(langs) - 1, 1)).mean()
+        if loss < best - 1e-9:
             best, chosen = loss, t
     model.temperature = float(chosen)
-    sure = model.probabilities(logits).max(axis=1)
-    known = np.array([(x[i][1] * model.seen[x[i][0]]).sum() for i in test])
-    # half of what the most doubtful calibration text has: texts like those of training stay
-    model.least_score = float(0.5 * np.quantile(sure, 0.002))
-    model.least_seen = float(0.5 * np.quantile(known, 0.002))
+    known = lambda row, seen: float(row[1][np.isin(row[0], seen)].sum())
+    shuffled = [i for i in test if len(noise[i][0])]
+    model.least_score = limit(model.probabilities(logits).max(axis=1), np.array([model.probabilities(score(bucket_of(noise[i][0]), noise[i][1])[None]).max() for i in shuffled]))
+    others = [np.unique(np.concatenate([np.zeros(0, np.int64), *[g for k, g in enumerate(of_lang) if k != j]])) for j in range(len(langs))]
+    foreign = [known(grams[i], others[y[i]]) for i in test] if len(langs) > 1 else []
+    model.least_seen = limit(np.array([known(grams[i], model.seen) for i in test]), np.array([*[known(noise[i], model.seen) for i in shuffled], *foreign]))
     return model
 
 
@@ -158,19 +189,34 @@ def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, id_col: str =
 PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
 
+_tables: dict[bytes, np.ndarray] = {}
+
+
+def seen_table(seen: np.ndarray) -> np.ndarray:
+    """``seen`` as flags, kept for the next block."""
+    key = hashlib.blake2b(seen.tobytes(), digest_size=16).digest()
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = np.zeros(1 << SEEN_BITS, bool)
+        _tables[key][seen] = True
+    return _tables[key]
+
+
 def predict_texts(model: Model, texts: pa.Array) -> pa.RecordBatch:
     raw, at = strings(texts)
     letters = has_letters(raw, at, texts)
     data = LETTERS[raw]
     n_langs = max(len(model.langs), 1)
     total, n, seen = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts))
+    was_seen = seen_table(model.seen)
     for size in NGRAMS:
-        bucket, first = subwords(data, at, size)
+        gram, first = subwords(data, at, size)
+        bucket = bucket_of(gram)
         some = np.flatnonzero(np.diff(first) > 0)
         if len(some):
             for j in range(n_langs):
                 total[some, j] += np.add.reduceat(model.logits[:, j][bucket].astype(np.float64), first[some])
-            seen[some] += np.add.reduceat(model.seen[bucket].astype(np.float64), first[some])
+            seen[some] += np.add.reduceat(was_seen[gram].astype(np.float64), first[some])
             n += np.diff(first)
     sure = model.probabilities(total / np.maximum(n, 1)[:, None] + model.bias)
     best, score = sure.argmax(axis=1), sure.max(axis=1)
