@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.session import materialize
+from viaduct.llm.skew import split_join
+from viaduct.session import Tables
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,21 +14,24 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours, then its smaller ones,
     to the least of its neighbourhood. The number of rounds is logarithmic in the longest chain. Every round is
-    written to the shared folder. Minima are pre-aggregated, so a hub of many links is no hot group.
+    written to the shared folder, and the one before is dropped. Minima are pre-aggregated, and a hub's edges meet its minimum in a join that spreads
+    hot nodes, so no hub gathers in one task.
     """
+    tables = Tables(links.sparkSession)
     edges = links.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    edges = materialize(edges, "components")
+    edges = tables.write(edges, "components")
     before = None
     while True:
-        both = edges.union(edges.select("hi", "lo")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi")
-        small = small.select("m", "hi").union(small.where("lo <> m").select("m", F.col("lo").alias("hi"))).toDF("lo", "hi").distinct()
-        edges = materialize(small, "components")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         before = now
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        both = edges.union(edges.select("hi", "lo")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = split_join(both.where("v > u"), least, ["u"], "n", 2 * now[0]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        large = tables.write(large, "components")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, low, ["hi"], "n", large.count())
+        small = small.select("m", "hi").union(small.where("lo <> m").select("m", F.col("lo").alias("hi"))).toDF("lo", "hi").distinct()
+        edges = tables.write(small, "components")
+        tables.drop(keep=1)

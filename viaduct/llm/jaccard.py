@@ -11,7 +11,8 @@ class is compared with all others (a star, not all pairs). Components of these l
 cluster; then, in a few rounds, only classes of different components that share a signature are compared with each other, and a
 sketch of parities, a bit an element, whose Hamming distance never exceeds the true difference, drops nearly all
 of these pairs before any set is read. Pairs that are left are compared on their whole sets. So the
-components are exact, while a group of near copies costs about one comparison a member and signature.
+components are exact, while a group of near copies costs about one comparison a member and signature. Members of a signature
+are dealt to cells of ``CELL`` on a side, so no task holds a hot signature; its largest component is never compared with itself.
 
 Nulls: a null, empty or wordless text has an empty set, links with nothing and is its own component (its
 id, which may be null). Rows are addressed by a hash of id and text; repeated rows are copies.
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.batches import blocks, mix, strings, table
+from viaduct.llm.batches import OWN, blocks, mix, release, strings, table, unused, with_id
 from viaduct.llm.components import components
-from viaduct.llm.skew import split_join
+from viaduct.llm.skew import salted_join, split_join
 from viaduct.llm.words import NOT_SPACE, Words, grams, spans
-from viaduct.session import materialize, shuffle_partitions
+from viaduct.session import Tables, materialize, shuffle_partitions
 
 SPARES = (0.1, 0.15, 0.2, 0.25, 0.3)  # shares of parts beyond what the guarantee needs, to leave weak ones out
 
@@ -154,9 +155,10 @@ def sketches(sets: np.ndarray, begin: np.ndarray) -> list[bytes]:
 class Sketches:
     """Sketches of many sets in one buffer."""
 
-    def __init__(self, rows: list[bytes]):
-        self.words = np.frombuffer(b"".join(rows), np.uint64)
-        self.size = np.array([len(r) // 8 for r in rows], np.int64)
+    def __init__(self, *columns: pa.Array | pa.ChunkedArray):
+        chunks = [strings(c) for column in columns for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])]
+        self.words = np.concatenate([data for data, _ in chunks]).view(np.uint64)
+        self.size = np.concatenate([np.diff(at) for _, at in chunks]) // 8
         self.start = np.cumsum(self.size) - self.size
 
     def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -204,7 +206,7 @@ def may_link(n: np.ndarray, sketch: Sketches, x: np.ndarray, y: np.ndarray, perc
 
 
 BROADCAST_ROWS, HEAVY, FORESTS = 500_000, 32, 1
-SETS = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
+SETS = pa.schema([("doc_id", OWN), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -214,7 +216,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             found = sketches(sets, begin)
             yield table(SETS, batch.column("doc_id"), batch.column("doc"), np.diff(begin), set_classes(sets, begin).view(np.int64), pa.array(found, pa.binary()), pa.array(map(coarse, found), pa.binary()))
 
-    return docs.mapInArrow(describe, "doc_id bigint, doc bigint, n bigint, cls bigint, sketch binary, coarse binary")
+    return docs.mapInArrow(describe, with_id(docs, "doc_id", "doc bigint, n bigint, cls bigint, sketch binary, coarse binary"))
 
 
 def _stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -259,7 +261,7 @@ def _stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(star, "sig bigint, head bigint, cls bigint, slack int, head_slack int")
 
 
-def _members(stars: DataFrame) -> DataFrame:
+def _members(stars: DataFrame, tables: Tables) -> DataFrame:
     """``sig, cls``: the places at which members still have to be compared with each other (the head is done).
 
     A signature of more than ``HEAVY`` classes is heavy, such as one that a common passage makes by itself. A class that
@@ -267,16 +269,16 @@ def _members(stars: DataFrame) -> DataFrame:
     the others are compared. Whether a signature is heavy is the same for all its members.
     """
     big = stars.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HEAVY).select("sig")
-    big = materialize(big, "jaccard-heavy")
-    hot = materialize(stars.join(big, "sig", "left_semi"), "jaccard-heavy-rows")
+    big = tables.write(big, "jaccard-heavy")
+    hot = tables.write(stars.join(big, "sig", "left_semi"), "jaccard-heavy-rows")
     light = stars.join(big, "sig", "left_anti").select("sig", "cls")
     places = hot.select("cls", "slack").union(hot.select("head", "head_slack", "sig").distinct().select("head", "head_slack"))
     over = places.groupBy("cls").agg(F.count("*").alias("n"), F.min("slack").alias("slack")).where("n > slack").select("cls")
     return light.union(hot.select("sig", "cls").join(over, "cls", "left_semi").select("sig", "cls"))
 
 
-def _pruned(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes ``a, b`` that can link by size and whole sketch."""
+def _pruned(pairs: DataFrame, info: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs of classes ``a, b``, ``total`` in number, that can link by size and whole sketch."""
     a, b = (info.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -284,18 +286,19 @@ def _pruned(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             m = batch.num_rows
             n = np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
-            sketch = Sketches(batch.column("s_a").to_pylist() + batch.column("s_b").to_pylist())
+            sketch = Sketches(batch.column("s_a"), batch.column("s_b"))
             x, _, _ = may_link(n, sketch, np.arange(m), np.arange(m) + m, percent)
             yield table(schema, batch.column("a").take(pa.array(x)), batch.column("b").take(pa.array(x)))
 
-    return pairs.join(b, "b").join(a, "a").mapInArrow(prune, "a bigint, b bigint")
+    both = salted_join(salted_join(pairs, b, "b", total), a, "a", total)
+    return both.select("n_a", "n_b", "s_a", "s_b", "a", "b").mapInArrow(prune, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percent: int, tables: Tables) -> DataFrame:
     """The pairs of classes ``a, b`` whose whole sets link."""
-    pairs = materialize(pairs, "jaccard-pairs")
+    pairs = tables.write(_pruned(pairs, info, percent, pairs.count()), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    needed = materialize(needed.join(info.select("cls", "rep"), "cls"), "jaccard-needed")
+    needed = tables.write(needed.join(info.select("cls", "rep"), "cls"), "jaccard-needed")
     few = needed.count() <= BROADCAST_ROWS
     chosen = docs.select("doc", "text").join(F.broadcast(needed) if few else needed, F.col("doc") == F.col("rep")).select("cls", "text")
     schema = pa.schema([("cls", pa.int64()), ("elements", pa.binary())])
@@ -309,8 +312,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, k: int, percen
             raw, at = sets.tobytes(), (begin * 8).tolist()
             yield table(schema, batch.column("cls"), pa.array([raw[s:e] for s, e in zip(at, at[1:], strict=False)], pa.binary()))
 
-    sets = materialize(chosen.mapInArrow(elements, "cls bigint, elements binary"), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a")
+    # a row of each class: copies in several tasks give it more than once
+    sets = tables.write(chosen.mapInArrow(elements, "cls bigint, elements binary").dropDuplicates(["cls"]), "jaccard-sets")
+    total = pairs.count()
+    both = salted_join(salted_join(pairs, sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b", total), sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a", total)
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
@@ -344,21 +349,51 @@ def _forest(root: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, far:
     return np.array(keep, np.int64)
 
 
-def _bucket_pairs(sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the same signature, rows being sorted by it, in blocks of some ``PAIRS``."""
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    head = np.flatnonzero(first)
-    end = np.repeat(np.append(head[1:], len(sig)), np.diff(np.append(head, len(sig))))
-    later = end - np.arange(len(sig)) - 1  # partners behind each row
+CELL = 1024
+#: A member's part in its cell: it is compared with the members (of the largest component, or of all in a cell of many), it is one of those, or both.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def _cells(members: DataFrame, total: int) -> DataFrame:
+    """``sig, cls, root, i, j, role``: members of signatures with several components, in their cells.
+
+    Members outside a signature's largest component are compared with all the others. Up to ``CELL`` of them and of all members make one
+    cell; more are dealt to blocks by the hash of their class, and each block of the one side meets each of the other side in a cell.
+    """
+    by_root = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("sig").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("sig", "all", F.col("main.root").alias("main"), F.ceil(F.col("all") / CELL).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("main.n")) / CELL).cast("int").alias("rows"))
+    placed = split_join(members, sizes, ["sig"], "all", total)
+    rest, own = F.col("root") != F.col("main"), F.xxhash64("cls")
+    at = lambda n: F.pmod(own, F.col(n)).cast("int")
+    cell = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(upto("rows"), lambda i: cell(i, at("columns"), RIGHT))
+    left = F.transform(upto("columns"), lambda j: cell(at("rows"), j, LEFT))
+    zero = F.lit(0)
+    one = F.when(rest, F.array(cell(zero, zero, BOTH))).otherwise(F.array(cell(zero, zero, RIGHT)))
+    cells = F.when((F.col("rows") == 1) & (F.col("columns") == 1), one).when(rest, F.concat(left, right)).otherwise(right)
+    return placed.select("sig", "cls", "root", F.inline(cells))
+
+
+def _cell_pairs(new: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows to compare, in blocks of some ``PAIRS``; ``new`` marks each cell's first row, and those that aren't ``RIGHT`` come first."""
+    n = len(new)
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, n))
+    end = np.repeat(head + size, size)
+    lefts = np.repeat(np.add.reduceat((role != RIGHT).astype(np.int64), head), size)
+    start = np.where(role == BOTH, np.arange(n) + 1, end - size.repeat(size) + lefts)
+    later = np.where(role == RIGHT, 0, end - start)
     total = np.cumsum(later)
     cuts = np.searchsorted(total, np.arange(PAIRS, total[-1] + PAIRS, PAIRS)) + 1
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True):
-        rows = np.arange(s, min(e, len(sig)))
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+        rows = np.arange(s, min(e, n))
         if len(rows) and later[rows].any():
-            yield np.repeat(rows, later[rows]), spans(rows + 1, later[rows])
+            yield np.repeat(rows, later[rows]), spans(start[rows], later[rows])
 
 
-def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _rest(members: DataFrame, info: DataFrame, percent: int, forest: bool, total: int) -> DataFrame:
     """Pairs of classes of different components under one signature that can link.
 
     ``forest``: only as many as join a batch's components, so that a large group of near copies costs a row a member.
@@ -366,10 +401,12 @@ def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        sig, cls, root, n = (rows.column(c).to_numpy() for c in ("sig", "cls", "root", "n"))
-        sketch = Sketches(rows.column("sketch").to_pylist())
+        sig, i, j, role, cls, root, n = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "role", "cls", "root", "n"))
+        sketch = Sketches(rows.column("sketch"))
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         found = [np.zeros((3, 0), np.int64)]
-        for x, y in _bucket_pairs(sig):
+        for x, y in _cell_pairs(new, role):
             apart = root[x] != root[y]
             found.append(np.stack(may_link(n, sketch, x[apart], y[apart], percent)))
             if forest:
@@ -379,16 +416,17 @@ def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
         x, y, _ = np.concatenate(found, axis=1)
         return table(schema, *np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1))
 
-    def buckets(batches):
+    def cells(batches):
         held: list[pa.RecordBatch] = []
+        key = lambda batch, row: tuple(batch.column(c)[row].as_py() for c in ("sig", "i", "j"))
         for batch in batches:
-            sig = batch.column("sig").to_numpy()
-            if not len(sig):
+            if not batch.num_rows:
                 continue
-            # whole signatures only: the last one of a batch waits for its rest
-            other = np.flatnonzero(sig != sig[-1])
+            # whole cells only: the last one of a batch waits for its rest
+            sig, i, j = (batch.column(c).to_numpy() for c in ("sig", "i", "j"))
+            other = np.flatnonzero((sig != sig[-1]) | (i != i[-1]) | (j != j[-1]))
             stop = int(other[-1]) + 1 if len(other) else 0
-            if held and sig[0] == held[-1].column("sig")[0].as_py() and not stop:
+            if held and not stop and key(batch, 0) == key(held[-1], 0):
                 held.append(batch)
                 continue
             done = [*held, batch.slice(0, stop)]
@@ -397,10 +435,13 @@ def _rest(members: DataFrame, percent: int, forest: bool) -> DataFrame:
                 yield compare(pa.Table.from_batches(done))
         if held:
             yield compare(pa.Table.from_batches(held))
+        release()
 
     n = shuffle_partitions(members.sparkSession)
-    columns = ("sig", "cls", "root", "n", "sketch")
-    return members.select(*columns).repartition(n, "sig").sortWithinPartitions("sig", "cls").mapInArrow(buckets, "a bigint, b bigint").distinct()
+    keys = ("sig", "i", "j")
+    described = _cells(members, total).join(info.select("cls", "n", F.col("coarse").alias("sketch")), "cls")
+    dealt = described.repartition(n, *keys).sortWithinPartitions(*keys, F.col("role") == RIGHT, "cls")
+    return dealt.mapInArrow(cells, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,36 +451,39 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     the component's row with the least id, nulls last, and of those the least address.
     """
     address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), address.alias("doc"), F.col(text_col).alias("text"))
-    sets = materialize(_sets(rows, k), "jaccard-classes")
-    info = sets.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("coarse").alias("coarse"))
-    info = materialize(info, "jaccard-info")
-    stars = materialize(_stars(rows, k, percent), "jaccard-stars")
-
-    heads = stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(_verified(_pruned(heads, info, percent), rows, info, k, percent), "jaccard-links")
+    rows = docs.select(F.col(id_col).alias("doc_id"), address.alias("doc"), F.col(text_col).alias("text"))
+    tables = Tables(docs.sparkSession)
+    sets = tables.write(_sets(rows, k), "jaccard-classes")
+    info = sets.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("coarse").alias("coarse"), F.count("*").alias("copies"))
+    info = tables.write(info, "jaccard-info")
+    stars = tables.write(_stars(rows, k, percent), "jaccard-stars")
+
+    heads = tables.write(stars.select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "jaccard-heads")
+    links = tables.write(_verified(heads, rows, info, k, percent, tables), "jaccard-links")
     roots = components(links)
 
-    # what the stars can't tell: members of a bucket that are still apart; forests first, then all pairs that are left
-    places = materialize(_members(stars), "jaccard-places")
+    # what the stars can't tell: members of a signature that are still apart; forests first, then all pairs that are left
+    places = tables.write(_members(stars, tables), "jaccard-places")
+    total = places.count()
     for forest in (*[True] * FORESTS, False):
         members = places.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-        members = materialize(members, "jaccard-members")
-        apart = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        narrow = info.select("cls", "n", F.col("coarse").alias("sketch"))
-        rest = _rest(members.join(apart, "sig", "left_semi").join(narrow, "cls"), percent, forest)
-        rest = materialize(rest, "jaccard-rest")
+        members = tables.write(members, "jaccard-members")
+        rest = tables.write(_rest(members, info, percent, forest, total), "jaccard-rest")
         if rest.isEmpty():
             break
-        more = materialize(_verified(_pruned(rest, info, percent), rows, info, k, percent), "jaccard-links")
+        more = tables.write(_verified(rest, rows, info, k, percent, tables), "jaccard-links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
 
-    named = sets.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "doc", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("root"))
-    named = materialize(named, "jaccard-named")
+    # a class of many copies is a hot key
+    of_class = tables.write(info.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "copies"), "jaccard-roots")
+    some = split_join(sets.where("n > 0"), of_class, ["cls"], "copies", sets.count()).select("doc_id", "doc", F.col("n").alias("n_shingles"), "cls", "root")
+    none = sets.where("n = 0").select("doc_id", "doc", F.col("n").alias("n_shingles"), "cls", F.lit(None).cast("bigint").alias("root"))
+    named = materialize(some.union(none), "jaccard-named")
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc")).alias("first"), F.count("*").alias("members"))
     least = materialize(least.select("root", "component_id", F.col("first.doc").alias("keeper"), "members"), "jaccard-least")
+    tables.drop()
     filled = split_join(named.where("root is not null"), least, ["root"], "members", named.count())
     out = ["doc_id", "doc", "n_shingles", "cls", "component_id", "keeper"]
     return filled.select(*out).union(named.where("root is null").select("doc_id", "doc", "n_shingles", "cls", F.col("doc_id").alias("component_id"), F.col("doc").alias("keeper")))
@@ -448,7 +492,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the least id of each component, all columns as they are; of repeated rows one stays."""
     found = join(docs, k, percent, id_col, text_col)
-    kept = found.where("doc = keeper").select(F.col("doc").alias("__doc")).distinct()
+    name = unused("doc", docs.columns)
+    kept = found.where("doc = keeper").select(F.col("doc").alias(name)).distinct()
     address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("__doc", address).join(kept, "__doc", "left_semi")
-    return joined.dropDuplicates(["__doc"]).select(*docs.columns)
+    # repeated rows are one before they meet the kept ones, so they are no hot key
+    return docs.withColumn(name, address).dropDuplicates([name]).join(kept, name, "left_semi").select(*docs.columns)
