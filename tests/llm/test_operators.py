@@ -8,11 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from viaduct.llm import audio, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, tokenbin, tokens, urlfilter
+from viaduct.llm import audio, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, skew, tokenbin, tokens, urlfilter
+from viaduct.llm.batches import BLOCK_BYTES, Doubling
+from viaduct.llm.words import Words, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, doc string, spans string, hits string, k string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +68,8 @@ def test_boundaries_round_trip():
     for n, step in ((1, 1), (5, 0), (300, 3), (2000, 900), (700, 70_000)):
         bounds = np.cumsum(np.concatenate([[0], r.integers(0, step + 1, n)]))
         found = tokenbin.Boundaries(*tokenbin.encode_boundaries(bounds), len(bounds))
-        assert found.all().tolist() == bounds.tolist()
+        some = np.unique(r.integers(0, len(bounds), 40))
+        assert found.selected(np.arange(len(bounds))).tolist() == bounds.tolist() and found.selected(some).tolist() == bounds[some].tolist()
         assert [found.select(i) for i in range(len(bounds))] == bounds.tolist()
 
 
@@ -223,7 +227,7 @@ def test_signatures_lose_no_link():
         owner, sig, slack = jaccard.signatures(sets, begin, bands)
         both = set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
         assert len(both) > max(slack.min(), 0)
-        sketch = jaccard.Sketches(jaccard.sketches(sets, begin))
+        sketch = jaccard.Sketches(pa.array(jaccard.sketches(sets, begin), pa.binary()))
         assert sketch.distance(np.array([0]), np.array([1]))[0] <= len(a ^ last)
 
 
@@ -248,10 +252,13 @@ def test_repeats(spark, docs, none, rows):
     table = [*rows, rows[12]]
     want = repeats.brute_force([(r[1] or "").encode() for r in table])
     by_id = {r[0]: w for r, w in zip(table, want, strict=True)}
-    found = repeats.report(docs).collect()
-    assert len(found) == len(table)
-    for r in found:
-        assert (r.n_removed, r.n_spans, r.kept_sha256) == by_id[r.doc_id]
+    before = repeats.KEY_ROWS, repeats.HOT_SHARE
+    for repeats.KEY_ROWS, repeats.HOT_SHARE in (before, (2, 1), (2, 1000)):  # no hot key; hot ones that are seen late, and early
+        found = repeats.report(docs).collect()
+        assert len(found) == len(table)
+        for r in found:
+            assert (r.n_removed, r.n_spans, r.kept_sha256) == by_id[r.doc_id]
+    repeats.KEY_ROWS, repeats.HOT_SHARE = before
     assert repeats.report(none).count() == 0
 
 
@@ -309,12 +316,37 @@ def test_line_dedup(docs, none, rows):
     assert linededup.report(none).count() == 0
 
 
-def test_bucket_pairs():
-    sig = np.array([1, 1, 1, 2, 3, 3])
-    jaccard.PAIRS, before = 2, jaccard.PAIRS
-    got = [p for x, y in jaccard._bucket_pairs(sig) for p in zip(x.tolist(), y.tolist(), strict=True)]
-    jaccard.PAIRS = before
-    assert sorted(got) == [(0, 1), (0, 2), (1, 2), (4, 5)]
+def test_cell_pairs():
+    new, role = np.array([1, 0, 0, 1, 0, 1, 0, 0], bool), np.array([3, 3, 2, 3, 2, 1, 2, 2])
+    for jaccard.PAIRS in (2, 500_000):
+        got = [p for x, y in jaccard._cell_pairs(new, role) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(got) == [(0, 1), (0, 2), (1, 2), (3, 4), (5, 6), (5, 7)]
+
+
+def test_cells_meet_all_that_are_apart(spark):
+    r = random.Random(51)
+    rows = [(1, c, r.choice([0, 0, 0, c])) for c in range(60)] + [(2, c, c % 2) for c in range(6)] + [(3, c, 7) for c in range(9)]
+    root = {(s, c): t for s, c, t in rows}
+    jaccard.CELL, before = 8, jaccard.CELL
+    cells = jaccard._cells(spark.createDataFrame(rows, "sig bigint, cls bigint, root bigint"), len(rows)).toPandas()
+    jaccard.CELL = before
+    met = set()
+    for (sig, *_), part in cells.sort_values(["role", "cls"], key=lambda x: x == 2 if x.name == "role" else x).groupby(["sig", "i", "j"]):
+        assert len(part) <= 40
+        new = np.arange(len(part)) == 0
+        cls = part.cls.to_numpy()
+        for x, y in jaccard._cell_pairs(new, part.role.to_numpy()):
+            met |= {(sig, min(a, b), max(a, b)) for a, b in zip(cls[x].tolist(), cls[y].tolist(), strict=True)}
+    want = {(s, a, b) for s, a in root for t, b in root if s == t and a < b and root[s, a] != root[t, b]}
+    assert want <= met
+
+
+def test_joins_of_hot_keys(spark):
+    rows = spark.range(3000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    want = sorted((x.id, x.least) for x in rows.join(groups, "k").collect())
+    assert sorted((x.id, x.least) for x in skew.split_join(rows, groups, ["k"], "n", 3000).collect()) == want
+    assert sorted((x.id, x.least) for x in skew.salted_join(rows, groups.drop("n"), "k", 3000, 9).collect()) == want
 
 
 def test_line_dedup_planted_passages(spark):
@@ -391,3 +423,64 @@ def test_language_id_rejects_what_is_no_language_of_training(spark):
     assert 0.001 < model.temperature < 50
     own = langid.predict(known.where(queries.held_out()), model).where("lang_pred <> 'und'").toPandas()
     assert own.accepted.mean() > 0.97
+
+
+def test_words_of_alternating_letters_differ():
+    """Sums of products modulo a power of two take these for equal: a Thue-Morse word and its complement."""
+    flip = str.maketrans("ab", "ba")
+    for n in (8, 64, 65, 1024, 2048):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        data = np.frombuffer(f"{word} {word.translate(flip)} {word}".encode(), np.uint8)
+        a, b, c = Words(data, np.array([0, len(data)])).hash.tolist()
+        assert a == c and a != b
+    word = np.frombuffer("".join("ab"[i.bit_count() & 1] for i in range(512)).encode(), np.uint8)
+    both = np.concatenate([word, 195 - word, word])
+    runs = Doubling(both, 72, 200)
+    at = np.array([0, 512, 1024])
+    a, b, c = runs.ranges(at, at + 256, 200, 328).tolist()
+    assert a == c and a != b and runs.windows(72)[0] == runs.windows(72)[1024] != runs.windows(72)[512]
+
+
+def test_range_hashes_do_not_depend_on_the_block():
+    r = np.random.default_rng(9)
+    data = r.integers(97, 99, 4000).astype(np.uint8)
+    start = r.integers(0, 3000, 200)
+    end = start + r.integers(200, 329, 200)
+    whole = Doubling(data, 72, 200).ranges(start, end, 200, 328)
+    for s, e, h in zip(start.tolist(), end.tolist(), whole.tolist(), strict=True):
+        assert Doubling(data[s:e], 72, 200).ranges(np.array([0]), np.array([e - s]), 200, 328)[0] == h
+    w = word_hashes(data, start, end).tolist()
+    assert w == [word_hashes(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+
+
+def test_names_that_clash_and_ids_that_are_strings(spark):
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [("a", line, "1", "2", "3", "4", "5"), ("b", line, "1", "2", "3", "4", "5"), (None, line + " more", "1", "2", "3", "4", "5")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, line_id string, LINE_hash string, line_spans string, doc string, hits string")
+    cut, spans = linededup.dedup_lines(docs)
+    assert cut.columns == [*docs.columns, spans] and {r.doc_id: r.text for r in cut.collect()} == {"a": "", "b": "", None: line + " more"} | {min((r[0] for r in rows[:2])): line}
+    assert jaccard.keep_one(docs).columns == docs.columns and jaccard.keep_one(docs).count() == 1
+    bench = spark.createDataFrame([("q", line)], "item_id string, text string")
+    assert decontam.keep_clean(docs, bench).columns == docs.columns
+    reports = [langid.predict(docs, langid.Model([])), decontam.report(docs, bench), linededup.report(docs), packing.pack(docs), audio.digest(audio.store(docs)), licenses.scan(docs), repeats.report(docs), tokenbin.read_tokens(spark, tokenbin.write_tokens(docs)), jaccard.join(docs)]
+    for found in reports:
+        assert {r.doc_id for r in found.select("doc_id").collect()} == {"a", "b", None}
+
+
+def test_texts_longer_than_a_block(spark):
+    """Three texts of three blocks' length: one whole copy, one copy in another frame."""
+    r = random.Random(41)
+    long = "\n".join(" ".join(f"t{r.randrange(10**7)}" for _ in range(60)) for _ in range(12_000))
+    assert len(long) > 3 * BLOCK_BYTES
+    docs = spark.createDataFrame([(1, long, "en"), (2, long, "en"), (3, "head\n" + long + "\ntail", "fr")], "doc_id bigint, text string, lang string")
+    assert {x.component_id for x in jaccard.join(docs).collect()} == {1}
+    assert {x.doc_id: x.n_removed for x in repeats.report(docs).collect()} == {1: len(long), 2: len(long), 3: len(long)}
+    assert {x.doc_id: x.n_removed for x in linededup.report(docs).collect()} == {1: 0, 2: len(long), 3: len(long) + 1}
+    item = " ".join(long.split("\n")[6000].split()[:20])
+    assert [x.n_hit for x in decontam.report(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()] == [20] * 3
+    packed = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("last")).collect()
+    assert len(packed) == 3 and all(x.last == (x.n - 1) // 2048 for x in packed)
+    assert tokenbin.read_tokens(spark, tokenbin.write_tokens(docs)).agg(F.sum("n_tokens")).first()[0] == sum(x.n for x in packed)
+    assert langid.predict(docs, langid.train(docs, F.lit(True))).count() == 3
+    assert [x.n_words for x in licenses.scan(docs).orderBy("doc_id").collect()] == [720_000, 720_000, 720_002]
+    assert audio.digest(audio.store(docs)).where(f"n_bytes >= {len(long)}").count() == 3

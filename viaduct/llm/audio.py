@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.batches import blocks, strings, table
+from viaduct.llm.batches import OWN, blocks, strings, table, with_id
 
 RATE, TARGET_RATE, BLOCK = 8000, 16000, 64
 #: WAV format codes, and the step sizes and index changes of IMA ADPCM: fixed values of the formats.
@@ -125,7 +125,7 @@ def codec_of(payload: bytes) -> str:
 
 def store(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", codec: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, media``: every payload as a WAV file of the codec (None: by content)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+    schema = pa.schema([("doc_id", OWN), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def write(batches):
         for batch in blocks(batches, "data"):
@@ -134,12 +134,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", data_col: str = "text", codec
             padded = [pad(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
             yield table(schema, batch.column("id"), np.diff(at), pa.array([to_wav(p, codec or codec_of(p)) for p in padded], pa.binary()))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data")).mapInArrow(write, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(data_col).alias("data")).mapInArrow(write, with_id(docs, id_col, "n_bytes bigint, media binary"))
 
 
 def expand(media: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
     """``doc_id, pcm``: the stored media decoded, resampled and stored as 16-bit WAV."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pcm", pa.binary())])
+    schema = pa.schema([("doc_id", OWN), ("pcm", pa.binary())])
 
     def convert(batches):
         for batch in blocks(batches, "media", 1 << 20):
@@ -149,7 +149,7 @@ def expand(media: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
                 out.append(to_wav(resample(decode(codec, payload), own, rate).tobytes(), "pcm", rate))
             yield table(schema, batch.column("doc_id"), pa.array(out, pa.binary()))
 
-    return media.select("doc_id", "media").mapInArrow(convert, "doc_id bigint, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(convert, with_id(media, "doc_id", "pcm binary"))
 
 
 def features(pcm: np.ndarray, rate: int, target: int) -> str:
@@ -160,7 +160,7 @@ def features(pcm: np.ndarray, rate: int, target: int) -> str:
     return f"peak={int(np.abs(wide).max(initial=0))};power={power};turns={turns};pcm={zlib.crc32(resample(pcm, rate, target).tobytes()):08x}"
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+DIGEST = pa.schema([("doc_id", OWN), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def digest(media: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
@@ -182,4 +182,4 @@ def digest(media: DataFrame, rate: int = TARGET_RATE) -> DataFrame:
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(whole), hashlib.sha256(whole).hexdigest(), features(sound, own, rate)))
             yield table(DIGEST, batch.column("doc_id"), batch.column("n_bytes"), *zip(*rows, strict=True))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, with_id(media, "doc_id", "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 2 << 20
 
@@ -24,20 +28,49 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text, or one row."""
-    for batch in batches:
-        _, at = strings(batch.column(text))
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)
-            yield batch.slice(start, end - start)
-            start = end
+    try:
+        for batch in batches:
+            _, at = strings(batch.column(text))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)
+                yield batch.slice(start, end - start)
+                start = end
+            del batch, at
+    finally:
+        release()
+
+
+#: The type of a column that keeps its own, such as ids.
+OWN = pa.null()
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    """Columns as a batch of ``schema``; those of type ``OWN`` are arrays and stay as they are."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
-    return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+    arrays = [a if f.type in (OWN, a.type) else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+
+def with_id(frame: DataFrame, id_col: str, fields: str, name: str = "doc_id") -> T.StructType:
+    """The schema of ``name``, of the type that ``frame`` has for ``id_col``, and the fields."""
+    return T.StructType([T.StructField(name, frame.schema[id_col].dataType), *T.StructType.fromDDL(fields).fields])
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores behind it if a column is called so, in whatever case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,44 +84,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_inverse = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64) if n else out
-
-
-_kept: dict[int, np.ndarray] = {}
-
+JOIN = np.uint64(0x9E3779B97F4A7C15)
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """Powers that stay for the next block, up to four blocks' length."""
-    have = _kept.get(base)
-    if have is None or len(have) < n:
-        have = powers(base, max(n, 1 << 16))
-        if n <= 4 * BLOCK_BYTES:
-            _kept[base] = have
-    return have[:n]
 
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One value of two; no sum of products, so no pattern of repeats cancels out."""
+    return mix(mix(x) * JOIN + y)
 
-class Rolling:
-    """Hashes of any byte range of a buffer, from one prefix sum of a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_HASH[data] * _powers(BASE, n), out=self.prefix[1:])
-        self.back = _powers(_inverse, n + 1)
+class Doubling:
+    """Hashes of byte ranges of a buffer, from hashes of all runs of 1, 2, 4 .. bytes, each joined from two of half its length."""
 
-    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[ends] - self.prefix[starts]) * self.back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    def __init__(self, data: np.ndarray, *sizes: int):
+        """Ranges of ``sizes`` bytes or more can be hashed; of each size the largest power of two up to it is kept."""
+        wanted = {1 << s.bit_length() - 1 for s in sizes}
+        self.runs: dict[int, np.ndarray] = {}
+        have, size = BYTE_HASH[data], 1
+        while True:
+            if size in wanted:
+                self.runs[size] = have
+            if size >= max(wanted) or len(have) <= size:
+                break
+            have = joined(have[: len(have) - size], have[size:])
+            size *= 2
 
     def windows(self, k: int) -> np.ndarray:
         """The hash of every k bytes that stand together."""
-        n = len(self.prefix) - k
-        return mix((self.prefix[k:] - self.prefix[:-k]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
+        size = 1 << k.bit_length() - 1
+        run = self.runs.get(size, np.zeros(0, np.uint64))
+        n = max(len(run) - (k - size), 0)
+        return joined(run[:n], run[k - size : k - size + n])
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray, least: int, most: int) -> np.ndarray:
+        """The hash of each range, of ``least`` to ``most`` bytes: runs that cover it, spread evenly, and its length."""
+        size = 1 << least.bit_length() - 1
+        run, length = self.runs[size], ends - starts
+        steps = max(1, -(-most // size) - 1)
+        total = length.astype(np.uint64)
+        for i in range(steps + 1):
+            total = joined(total, run[starts + (length - size) * i // steps])
+        return total

@@ -3,7 +3,7 @@
 Method. A text's subwords are its byte n-grams of 2 to 4 bytes inside words (a word's edge counts as a
 space), hashed into ``BUCKETS`` embeddings. The text is the average of its embeddings; a linear softmax names the
 language. Both are trained by stochastic gradient descent in numpy on the driver, over the sparse features
-of ``TRAIN_ROWS`` labelled rows at most, those with the smallest hash of their id. A fifth of these rows is
+of ``TRAIN_ROWS`` labelled rows at most, those with the smallest hash of id and text. A fifth of these rows is
 not trained on but calibrates: a temperature for the probabilities, and two limits below which an answer
 is rejected, on the probability and on the share of subwords that training had seen. What was seen is looked up by
 ``SEEN_BITS`` bits of a subword's hash, of which its bucket is the first part, so few unseen subwords pass for seen ones. Each limit
@@ -14,7 +14,8 @@ Prediction reads the whole text, sums each n-gram's product with the softmax (em
 kept as one table of BUCKETS x languages), and so needs one pass and no shuffle.
 
 Null or letterless text gives ``und`` with score 0 and is rejected. Rows without a label are never trained on.
-If no row has a label, every text is ``und``.
+If no row has a label, every text is ``und``. Rows are judged one by one: equal texts alike, whatever their ids, texts of any length as a whole. Repeated rows train once. An
+empty table gives no row. Ids keep their type.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.batches import blocks, strings, table
+from viaduct.llm.batches import OWN, blocks, release, strings, table, with_id
 from viaduct.llm.words import LOWER
 
 BUCKETS, DIM, NGRAMS, TRAIN_ROWS, EPOCHS = 1 << 15, 8, (2, 3, 4), 1500, 5
@@ -70,29 +71,33 @@ def has_letters(data: np.ndarray, at: np.ndarray, texts: pa.Array) -> np.ndarray
     return out
 
 
+def calibrates(keys: np.ndarray) -> np.ndarray:
+    """Which rows calibrate: a fifth, by their key."""
+    return np.asarray(keys, np.int64) % 5 == 4
+
+
 def training_features(rows: DataFrame) -> DataFrame:
-    """``lang, grams, shares`` of ``text``, and ``noise, noise_shares`` of the text with shuffled letters."""
-    schema = pa.schema([("lang", pa.string()), ("grams", pa.binary()), ("shares", pa.binary()), ("noise", pa.binary()), ("noise_shares", pa.binary())])
+    """``k, lang, grams, shares`` of ``text``, and of texts that calibrate ``noise, noise_shares``, of the text with shuffled letters."""
+    schema = pa.schema([("k", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("shares", pa.binary()), ("noise", pa.binary()), ("noise_shares", pa.binary())])
 
     def features(batches):
         for batch in blocks(batches, "text"):
-            data, at = strings(batch.column("text"))
-            data = LETTERS[data]
-            noise = data.copy()
-            for begin, end in zip(at[:-1], at[1:], strict=True):
-                letters = begin + np.flatnonzero(data[begin:end] != 32)
-                noise[letters] = np.random.default_rng(len(letters)).permutation(data[letters])
-            both = [[subwords(x, at, n) for n in NGRAMS] for x in (data, noise)]
-            out = []
-            for i in range(batch.num_rows):
-                row = [batch.column("lang")[i].as_py()]
-                for each in both:
-                    ids, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in each]), return_counts=True)
+            keys = batch.column("k").to_numpy()
+            for i, held in enumerate(calibrates(keys).tolist()):
+                data, at = strings(batch.column("text").slice(i, 1))
+                data = LETTERS[data]
+                texts = [data]
+                if held:
+                    letters = np.flatnonzero(data != 32)
+                    texts.append(data.copy())
+                    texts[1][letters] = np.random.default_rng(len(letters)).permutation(data[letters])
+                row = [keys[i], batch.column("lang")[i].as_py()]
+                for text in texts:
+                    ids, n = np.unique(np.concatenate([subwords(text, at, n)[0] for n in NGRAMS]), return_counts=True)
                     row += [ids.astype("<u4").tobytes(), (n / max(n.sum(), 1)).astype("<f4").tobytes()]
-                out.append(row)
-            yield table(schema, *zip(*out, strict=True))
+                yield table(schema, *[[x] for x in (*row, None, None)[:6]])
 
-    return rows.mapInArrow(features, "lang string, grams binary, shares binary, noise binary, noise_shares binary")
+    return rows.mapInArrow(features, "k bigint, lang string, grams binary, shares binary, noise binary, noise_shares binary")
 
 
 class Model:
@@ -117,15 +122,17 @@ def limit(own: np.ndarray, negative: np.ndarray) -> float:
 
 
 def fit(rows: list, seed: int = 7, rate: float = 20.0) -> Model:
-    """Train on the rows of ``training_features``; every fifth calibrates."""
-    langs = sorted({r[0] for r in rows})
+    """Train on the rows of ``training_features``; a fifth calibrates."""
+    rows = sorted(rows)
+    langs = sorted({r[1] for r in rows})
     model = Model(langs)
     if not rows:
         return model
-    grams, noise = ([(np.frombuffer(r[c], "<u4").astype(np.int64), np.frombuffer(r[c + 1], "<f4")) for r in rows] for c in (1, 3))
+    grams, noise = ([(np.frombuffer(r[c] or b"", "<u4"), np.frombuffer(r[c + 1] or b"", "<f4")) for r in rows] for c in (2, 4))
     x = [(bucket_of(g), share) for g, share in grams]
-    y = np.array([langs.index(r[0]) for r in rows])
-    held = np.arange(len(rows)) % 5 == 4
+    y = np.array([langs.index(r[1]) for r in rows])
+    held = calibrates([r[0] for r in rows])
+    held &= held.any() and not held.all()
     train = np.flatnonzero(~held)
     random = np.random.default_rng(seed)
     embed = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -177,13 +184,15 @@ def fit(rows: list, seed: int = 7, rate: float = 20.0) -> Model:
 def train(docs: DataFrame, usable: Column, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on at most ``rows`` rows that are ``usable`` and have a label and a text."""
     good = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    last = [r[0] for r in good.select(key.alias("k")).orderBy("k").limit(rows).collect()]  # rows numbers
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    good = good.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("k"))
+    last = [r[0] for r in good.select("k").distinct().orderBy("k").limit(rows).collect()]  # rows numbers
     if not last:
         return Model([])
-    chosen = good.where(key <= last[-1]).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("k"))
-    found = training_features(chosen.where(F.length("text") > 0).orderBy("k").limit(rows).select("text", "lang")).collect()
-    return fit(sorted(map(tuple, found)))
+    # features, not texts, of the chosen rows gather in one task; repeated rows are one
+    model = fit(list(map(tuple, training_features(good.where(F.col("k") <= last[-1])).dropDuplicates(["k"]).collect())))
+    release()
+    return model
 
 
 PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
@@ -228,14 +237,14 @@ def predict_texts(model: Model, texts: pa.Array) -> pa.RecordBatch:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, accepted`` of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), *PREDICTED])
+    schema = pa.schema([("doc_id", OWN), *PREDICTED])
 
     def run(batches):
         for batch in blocks(batches, "text"):
             found = predict_texts(model, batch.column("text"))
             yield table(schema, batch.column("id"), *found.columns)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, with_id(docs, id_col, "lang_pred string, score double, accepted boolean"))
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.llm import tokens
-from viaduct.llm.batches import blocks, table
+from viaduct.llm.batches import OWN, blocks, table, with_id
 from viaduct.session import materialize
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
-PIECES_SQL = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
+PIECES = pa.schema([("doc_id", OWN), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
+PIECES_SQL = "piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
 
 
 def cut(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,20 +38,22 @@ def cut(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end
     name = tokenizer or tokens.default_path()
 
     def pieces(batches):
-        coder = tokens.encoder(name)
-        end, part = end_id.to_bytes(coder.width, "little"), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in blocks(batches, "text"):
-            rows: list[tuple] = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(coder.ids(text) + end, f"<u{coder.width}").astype("<u4")
-                for n, at in enumerate(range(0, len(ids), capacity)):
-                    one = ids[at : at + capacity]
-                    rows.append((key, n, at, len(one), zlib.crc32(one), part, int(seen[len(one)])))
-                    seen[len(one)] += 1
-            yield table(PIECES, *zip(*rows, strict=True))
-
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES_SQL)
+        with tokens.encoder(name) as coder:
+            end, part = end_id.to_bytes(coder.width, "little"), TaskContext.get().partitionId()
+            seen = np.zeros(capacity + 1, np.int64)
+            for batch in blocks(batches, "text"):
+                keys: list[int] = []
+                rows: list[tuple] = []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    ids = np.frombuffer(coder.ids(text) + end, f"<u{coder.width}").astype("<u4")
+                    for n, at in enumerate(range(0, len(ids), capacity)):
+                        one = ids[at : at + capacity]
+                        keys.append(i)
+                        rows.append((n, at, len(one), zlib.crc32(one), part, int(seen[len(one)])))
+                        seen[len(one)] += 1
+                yield table(PIECES, batch.column("id").take(pa.array(keys)), *zip(*rows, strict=True))
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, with_id(docs, id_col, PIECES_SQL))
 
 
 def sweep(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -95,7 +97,7 @@ def sweep(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(plan), np.int64).reshape(-1, 6)
 
 
-PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+PLACED = pa.schema([("doc_id", OWN), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -107,7 +109,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     keys = plan[:, 0] << 44 | plan[:, 1]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
+    # the counts grow with the partitions, so they are not broadcast; a length and part is no hot key
+    ranked = pieces.join(base.hint("shuffle_hash"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
 
     def assign(batches):
         for batch in batches:
@@ -116,7 +119,7 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             nth = rank - first
             yield table(PLACED, *(batch.column(c) for c in PLACED.names[:5]), sequence + nth // each, offset + nth % each * length)
 
-    return ranked.mapInArrow(assign, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(assign, with_id(pieces, "doc_id", "piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

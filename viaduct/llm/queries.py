@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.llm import audio, decontam, jaccard, langid, licenses, linededup, packing, repeats, tokenbin, urlfilter
+from viaduct.session import materialize, small_batches
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,7 +23,7 @@ def held_out():
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs, ~held_out())
-    return langid.predict(docs, model).withColumn("held_out", held_out())
+    return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest(audio.store(_read(spark, sf_dir, "documents")))
+    return audio.digest(materialize(audio.store(_read(spark, sf_dir, "documents")), "media"))
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,9 @@ are anchors near the ends of repeats: their surroundings are fetched and go thro
 Documents are addressed by a 64-bit hash of id and text. A null text is empty. Two rows with the same id
 and the same text are two documents whose bytes occur in each other. Anchors and surroundings are compared
 by 64-bit hashes, suffixes by ranks, that is by bytes. A sorted stream of anchors takes no memory in
-proportion to a group; a task of the suffix array holds ``TASK_BYTES`` of surroundings, or those of one key.
+proportion to a group; a task of the suffix array holds ``TASK_BYTES`` of surroundings and at most ``KEY_ROWS`` of one key. A key of
+more, such as that of a passage that very many texts hold, is settled window by window instead: windows are counted by
+their hash with map-side combining, in no task of its own. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.batches import Rolling, blocks, mix, strings, table
+from viaduct.llm.batches import OWN, Doubling, blocks, mix, strings, table, with_id
+from viaduct.llm.skew import HOT_SHARE, split_join
 from viaduct.llm.words import spans as ranges_of
 from viaduct.session import materialize, shuffle_partitions
 
-LENGTH, KEY, TASK_BYTES = 200, 72, 1 << 20
+LENGTH, KEY, TASK_BYTES, KEY_ROWS = 200, 72, 1 << 20, 1024
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
@@ -41,10 +44,10 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int = K
     none = np.zeros(0, np.int64)
     if not each.sum():
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    rolling = Rolling(data)
-    gram = rolling.windows(key)
-    # the hash's high bits and the place: the least one is the leftmost of equals
-    bits = np.uint64((1 << int(len(data)).bit_length()) - 1)
+    runs = Doubling(data, key, length)
+    gram = runs.windows(key)
+    # the hash's high half and the place: the leftmost of those with the least high half, in whatever block a window stands
+    bits = np.uint64((1 << 32) - 1)
     least = (gram & ~bits) | np.arange(len(gram), dtype=np.uint64)
     have, w = 1, length - key + 1
     while have < w:
@@ -57,7 +60,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int = K
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     last = np.concatenate([first[1:], [len(window)]]) - 1
     low, high = window[first], window[last]
-    return text[first], low, place[first], high, gram[place[first]], rolling.ranges(low, high + length)
+    return text[first], low, place[first], high, gram[place[first]], runs.ranges(low, high + length, length, 2 * length - key)
 
 
 def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +232,18 @@ def covered(data: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
 
 
 CONTEXTS = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("around", pa.binary())])
-SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("window", pa.int64())])
+SPANS_SQL = "doc bigint, start bigint, end bigint, window bigint"
+
+
+def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All windows of ``around``, which stands at ``start`` of ``doc``, with their hashes."""
+    data, at = strings(batch.column("around"))
+    each = np.maximum(np.diff(at) - LENGTH + 1, 0)
+    place = ranges_of(at[:-1], each)
+    row = np.repeat(np.arange(len(each)), each)
+    start = batch.column("start").to_numpy()[row] + place - at[row]
+    return table(SPANS, batch.column("doc").take(pa.array(row)), start, start + LENGTH, Doubling(data, LENGTH).windows(LENGTH)[place].view(np.int64))
 
 
 def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +258,10 @@ def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated ranges of surroundings that are sorted by key; whole keys go through one suffix array."""
+    """Repeated ranges of surroundings that are sorted by key; whole keys go through one suffix array.
+
+    Of a key of more than ``KEY_ROWS``, all windows with their hashes instead.
+    """
 
     def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -255,23 +272,35 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(mark & ~np.concatenate([[False], mark[:-1] & (owner[1:] == owner[:-1])]))
         stop = np.flatnonzero(mark & ~np.concatenate([mark[1:] & (owner[1:] == owner[:-1]), [False]])) + 1
         shift = rows.column("start").to_numpy()[owner[edge]] - at[owner[edge]]
-        return table(SPANS, rows.column("doc").take(pa.array(owner[edge])), edge + shift, stop + shift)
+        return table(SPANS, rows.column("doc").take(pa.array(owner[edge])), edge + shift, stop + shift, pa.nulls(len(edge), pa.int64()))
 
-    held: list[pa.RecordBatch] = []
-    size = 0
+    whole: list[pa.RecordBatch] = []  # rows of keys that have ended
+    last: list[pa.RecordBatch] = []  # those of the key that may go on
+    last_key, many = None, False
     for batch in blocks(batches, "around", TASK_BYTES // 4):
         k = batch.column("k").to_numpy()
-        if held and size >= TASK_BYTES:
-            last = held[-1].column("k")[held[-1].num_rows - 1].as_py()
-            same = int(np.searchsorted(k != last, True)) if k[0] == last else 0
-            if same < batch.num_rows:
-                held.append(batch.slice(0, same))
-                yield settle(held)
-                held, size, batch = [], 0, batch.slice(same)
-        held.append(batch)
-        size += int(strings(batch.column("around"))[1][-1])
-    if held:
-        yield settle(held)
+        change = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if last_key is not None and k[0] == last_key:
+            head = batch.slice(0, int(change[0]) if len(change) else len(k))
+            if many:
+                yield windows_of(head)
+            else:
+                last.append(head)
+        else:
+            change = np.concatenate([[0], change])
+        if len(change):  # another key begins: the one before has ended
+            whole += last
+            whole.append(batch.slice(int(change[0]), int(change[-1] - change[0])))
+            last, last_key, many = [batch.slice(int(change[-1]))], k[-1], False
+        if not many and sum(x.num_rows for x in last) > KEY_ROWS:
+            yield from map(windows_of, last)
+            last, many = [], True
+        if sum(x.get_total_buffer_size() if x.num_rows else 0 for x in whole) >= TASK_BYTES or sum(x.num_rows for x in whole) * LENGTH >= TASK_BYTES:
+            yield settle(whole)
+            whole = []
+    whole += last
+    if sum(x.num_rows for x in whole):
+        yield settle(whole)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -280,10 +309,22 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     dealt = rows.select("doc", "text").mapInArrow(deal, "k bigint, h bigint, doc bigint, a bigint")
     routed = materialize(dealt.repartition(n, "k").sortWithinPartitions("k", "h").mapInArrow(route, ROUTED_SQL), "repeat-routes")
-    asked = routed.where(F.col("k").isNotNull()).groupBy("doc").agg(F.collect_set(F.struct("k", "start", "end")).alias("asked"))
-    around = rows.join(asked, "doc").select("doc", "text", "asked").mapInArrow(surroundings, "k bigint, doc bigint, start bigint, around binary")
-    found = around.repartition(n, "k").sortWithinPartitions("k").mapInArrow(resolve, "doc bigint, start bigint, end bigint")
-    spans = routed.where(F.col("k").isNull()).select("doc", "start", "end").unionByName(found)
+    left = routed.where(F.col("k").isNotNull())
+    total = left.count()
+    hot = materialize(left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(KEY_ROWS), F.lit(total / HOT_SHARE))).select("k"), "repeat-hot")  # at most HOT_SHARE keys
+    ask = lambda part: part.groupBy("doc").agg(F.collect_set(F.struct("k", "start", "end")).alias("asked"))
+    cut = lambda part: rows.join(ask(part), "doc").select("doc", "text", "asked").mapInArrow(surroundings, "k bigint, doc bigint, start bigint, around binary")
+    around = cut(left.join(F.broadcast(hot), "k", "left_anti"))
+    found = materialize(around.repartition(n, "k").sortWithinPartitions("k").mapInArrow(resolve, SPANS_SQL), "repeat-found")
+    windows = found.where("window is not null")
+    if not hot.isEmpty():
+        hot_rows = materialize(cut(left.join(F.broadcast(hot), "k")), "repeat-hot-rows")
+        windows = windows.unionByName(hot_rows.mapInArrow(lambda batches: map(windows_of, blocks(batches, "around", TASK_BYTES)), SPANS_SQL))
+    spans = routed.where(F.col("k").isNull()).select("doc", "start", "end").unionByName(found.where("window is null").select("doc", "start", "end"))
+    if not windows.isEmpty():
+        windows = materialize(windows, "repeat-windows")
+        twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+        spans = spans.unionByName(split_join(windows, twice, ["window"], "n", windows.count()).select("doc", "start", "end"))
     return spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -291,13 +332,13 @@ def address(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
 
 
-REMOVED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+REMOVED = pa.schema([("doc_id", OWN), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: every document and the bytes that are left of it."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(address(id_col, text_col).alias("doc"), F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    rows = docs.select(address(id_col, text_col).alias("doc"), F.col(id_col).alias("doc_id"), text.alias("text"))
     joined = rows.join(repeated_spans(rows), "doc", "left").select("doc_id", "text", "spans")
 
     def cut(batches):
@@ -318,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             left = np.array([len(x) for x in kept], np.int64)
             yield table(REMOVED, batch.column("doc_id"), np.diff(at), np.diff(at) - left, n_spans, pa.array(kept, pa.binary()))
 
-    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(cut, with_id(rows, "doc_id", "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ document. Spark's commit protocol makes the shards whole or absent, on any file
 plain files. Only one number a partition, its count of ids, comes to the driver.
 
 Nulls: a null text is an empty document (the end id alone). A null id sorts first. Rows with the same id
-stay separate documents, in the order of their texts. An empty table gives no shard.
+stay separate documents, in the order of a hash of their texts. An empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viaduct.llm import tokens
-from viaduct.llm.batches import blocks
+from viaduct.llm.batches import OWN, blocks, release, table
 from viaduct.session import shared_folder, shuffle_partitions
 
 MAGIC, STEP = b"VTB1", 256
@@ -79,9 +80,17 @@ class Boundaries:
         place = byte * 8 + (word & -word).bit_length() - 1
         return (place - i << self.width) + int(self._lows(i, i + 1)[0])
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n) << self.width) + self._lows(0, self.n)
+    def selected(self, which: np.ndarray) -> np.ndarray:
+        """Many boundaries, whose numbers ascend: ``select`` of all of them, over the bits between the first one's and the last one's entries."""
+        if not len(which):
+            return np.zeros(0, np.int64)
+        first, last = int(which[0]) // STEP, int(which[-1]) // STEP
+        begin = int(self.directory[first]) // 8
+        stop = int(self.directory[last + 1]) // 8 + 1 if last + 1 < len(self.directory) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:stop], bitorder="little")) + begin * 8
+        ones = ones[np.searchsorted(ones, int(self.directory[first])) :][which - first * STEP]
+        low = self._lows(int(which[0]), int(which[-1]) + 1)[which - which[0]]
+        return (ones - which << self.width) + low
 
 
 def write_shard(docs: list[bytes], width: int) -> bytes:
@@ -111,8 +120,8 @@ class Shard:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-SHARDS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
-SHARDS_SQL = "part int, block int, before bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, payload binary"
+SHARDS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", OWN), ("payload", pa.binary())])
+SHARDS_SQL = "part int, block int, before bigint, n_docs bigint, n_tokens bigint"
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> str:
@@ -121,33 +130,38 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
 
     def encode(batches):
-        coder = tokens.encoder(name)
-        end, part = end_id.to_bytes(coder.width, "little"), TaskContext.get().partitionId()
-        ids, held, size, block, before = [], [], 0, 0, 0
-
-        def shard():
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "n_docs": len(held), "n_tokens": size, "doc_ids": ids, "payload": write_shard(held, coder.width)}], schema=SHARDS)
-
-        for batch in blocks(batches, "text"):
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                doc = coder.ids(text) + end
-                if held and size + len(doc) // coder.width > shard_tokens:
-                    yield shard()
-                    before, block = before + size, block + 1
-                    ids, held, size = [], [], 0
-                ids.append(key)
-                held.append(doc)
-                size += len(doc) // coder.width
-        if held:
-            yield shard()
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
-    rows.mapInArrow(encode, SHARDS_SQL).write.parquet(path)
+        part, ids, held, size, block, before = TaskContext.get().partitionId(), [], [], 0, 0, 0
+        with tokens.encoder(name) as coder:
+            end = end_id.to_bytes(coder.width, "little")
+
+            def shard(kind):
+                row = [[part], [block], [before], [len(held)], [size], pa.array([ids], pa.list_(kind)), [write_shard(held, coder.width)]]
+                return table(SHARDS, *row)
+
+            for batch in blocks(batches, "text"):
+                kind = batch.column("id").type
+                for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    doc = coder.ids(text) + end
+                    if held and size + len(doc) // coder.width > shard_tokens:
+                        yield shard(kind)
+                        before, block = before + size, block + 1
+                        ids, held, size = [], [], 0
+                    ids.append(key)
+                    held.append(doc)
+                    size += len(doc) // coder.width
+            if held:
+                yield shard(kind)
+
+    # a common id, or none, doesn't gather in one task: the texts' hash and a number of the row go on
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "id", "h", "n").sortWithinPartitions("id", "h", "n").select("id", "text")
+    kind = T.ArrayType(docs.schema[id_col].dataType)
+    schema = T.StructType([*T.StructType.fromDDL(SHARDS_SQL).fields, T.StructField("doc_ids", kind), T.StructField("payload", T.BinaryType())])
+    rows.mapInArrow(encode, schema).write.parquet(path)
     return path
 
 
-READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+READ = pa.schema([("doc_id", OWN), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -162,13 +176,15 @@ def read_tokens(spark, path: str) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = Shard(batch.column("payload")[row].as_buffer())
-                bounds = shard.bounds.all()
-                wide = shard.ids.astype("<u4")
-                sums = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                bounds = shard.bounds.selected(np.arange(shard.n + 1))
+                sums = [zlib.crc32(shard.ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 start = bounds[:-1] + (base[batch.column("part")[row].as_py()] + batch.column("before")[row].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[row].values, pa.array(start), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], schema=READ)
+                yield table(READ, batch.column("doc_ids")[row].values, start, np.diff(bounds), sums)
+            release()
 
-    return shards.select("part", "before", "doc_ids", "payload").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    ids = shards.schema["doc_ids"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", ids), *T.StructType.fromDDL("start bigint, n_tokens bigint, ids_crc32 bigint").fields])
+    return shards.select("part", "before", "doc_ids", "payload").mapInArrow(decode, schema)
 
 
 def export(shard_row, path: str) -> None:

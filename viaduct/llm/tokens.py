@@ -1,20 +1,23 @@
 """Token ids of whole texts, by a public tokenizer file.
 
 Encoding a text equals encoding its space-separated chunks one by one when no token may hold white
-space, so each distinct chunk is encoded once a worker and then looked up.
+space, so each distinct chunk is encoded once a task, or once a filling of its cache, and then looked up.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from functools import lru_cache
+from contextlib import contextmanager
+
+from viaduct.llm.batches import release
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: What has to hold for chunks to be encoded alone: fixed values of the tokenizer file's own format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CHUNKS, PIECES = 700_000, 600_000  # cached entries a worker
+CHUNKS, PIECES = 300_000, 200_000  # cached entries a task; a full cache starts anew, and frequent ones soon return
 
 
 def default_path() -> str:
@@ -60,8 +63,9 @@ class Encoder:
         if got is None:
             seen = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
             got = self._pack([t.id for t in self.whole.model.tokenize(seen)])
-            if len(self.pieces) < PIECES:
-                self.pieces[piece] = got
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -83,11 +87,20 @@ class Encoder:
         for i in [i for i, x in enumerate(out) if x is None]:
             word = words[i]
             out[i] = got = self._chunk(word)
-            if len(self.chunks) < CHUNKS and len(word) <= 64:
+            if len(word) <= 64:
+                if len(self.chunks) >= CHUNKS:
+                    self.chunks.clear()
                 self.chunks[word] = got
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@contextmanager
+def encoder(path: str):
+    """The encoder of one task. It goes when the task ends: workers outlive their tasks, and other stages need the memory."""
+    coder = Encoder(path)
+    try:
+        yield coder
+    finally:
+        del coder
+        gc.collect()
+        release()
