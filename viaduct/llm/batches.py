@@ -89,8 +89,8 @@ JOIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """One value of two; no sum of products, so no pattern of repeats cancels out."""
-    return mix(mix(x) * JOIN + y)
+    """One value of two. Both are mixed already, and the result is, so no pattern of repeats cancels out over several steps."""
+    return mix(x * JOIN + y)
 
 
 class Doubling:

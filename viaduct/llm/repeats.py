@@ -35,7 +35,7 @@ from viaduct.llm.skew import HOT_SHARE, split_join
 from viaduct.llm.words import spans as ranges_of
 from viaduct.session import materialize, shuffle_partitions
 
-LENGTH, KEY, TASK_BYTES, KEY_ROWS = 200, 72, 1 << 20, 1024
+LENGTH, KEY, TASK_BYTES, KEY_ROWS = 200, 72, 1 << 20, 8192
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
