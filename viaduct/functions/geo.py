@@ -78,9 +78,9 @@ def flat_projection(lat: Column, lng: Column, a_lat: Column, a_lng: Column, b_la
     return F.struct(haversine_m(lat, lng, a_lat + t * dx, a_lng + t * dy).alias("distance_m"), t.alias("t"))
 
 
-def polyline_lengths(points: Column) -> Column:
+def polyline_lengths(points: Column, meters=haversine_m) -> Column:
     """Running length at every point of ``array<struct<lat, lng>>``, from 0."""
-    pairs = F.zip_with(points, F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.coalesce(haversine_m(a["lat"], a["lng"], b["lat"], b["lng"]), F.lit(0.0)))
+    pairs = F.zip_with(points, F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.coalesce(meters(a["lat"], a["lng"], b["lat"], b["lng"]), F.lit(0.0)))
     steps = F.slice(pairs, 1, F.greatest(F.size(points) - 1, F.lit(0)))
     start = F.array(F.lit(0.0))
     return F.aggregate(steps, start, lambda have, s: F.concat(have, F.array(F.element_at(have, -1) + s)))

@@ -112,3 +112,13 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 def duration_text(micros: Column) -> Column:
     return F.when(micros >= 1_000_000, F.format_string("%.2f s", micros / 1e6)).when(micros >= 1000, F.format_string("%.2f ms", micros / 1e3)).otherwise(F.format_string("%d us", micros))
+
+
+#: Metres a second of the speed categories 1 to 8: fixed values of the navigation tables.
+CATEGORY_SPEEDS = (36.11, 31.94, 26.388, 22.22, 16.66, 11.11, 5.55, 1.38)
+
+
+def category_speed(category: Column, limit_kmh: Column) -> Column:
+    """A link's speed in metres a second: its category's, or the limit if that is lower. An unknown category has none."""
+    own = F.get(F.array(*[F.lit(v) for v in CATEGORY_SPEEDS]), category - 1)
+    return F.least(own, F.coalesce(limit_kmh, F.lit(999)) / 3.6)

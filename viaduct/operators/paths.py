@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import defaultdict
 
@@ -9,120 +10,117 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.session import materialize
+from viaduct.session import Tables, materialize
 
-CELL_NODES = 512
+#: Nodes of a cell, and into how many blocks its sources are dealt.
+CELL_NODES, BLOCKS = 1 << 14, 16
+FAR = 1 << 62
 
 
-def distances(arcs: DataFrame, sources: DataFrame, cell_nodes: int = CELL_NODES, limit: int | None = None) -> DataFrame:
-    """``source, node, dist`` of every node that each source reaches, by least ``weight`` of ``tail, head, weight``.
+def _rounds(cells: DataFrame, seeds: DataFrame, cell_nodes: int, after, name: str) -> DataFrame:
+    """``source, node, value``: the least values from ``seeds``, in rounds over cells of ids.
 
-    Nodes are cut into cells of ids. A round settles whole cells: every cell that got better distances from outside
-    runs Dijkstra's algorithm inside, for all sources, and hands the results of its outgoing arcs to other cells. The
-    rounds end when nothing improves, so their number follows the cells on a path, not its arcs. A task
-    holds one cell's arcs. ``limit`` caps distances.
+    ``cells`` has a row a cell: ``cell, tails, heads`` and what else ``after(row, source)`` needs to return, for each tail, its heads and how
+    a value changes on the way. The table is written once; a round reads the rows of those cells only that got better
+    values from outside, settles them by Dijkstra's algorithm for one block of sources a task, and passes on what leaves them. The
+    rounds follow the cells on a path, not its arcs. Tables of earlier rounds are dropped.
     """
-    cell = lambda c: F.expr(f"{c} div {cell_nodes}")
-    graph = arcs.select(cell("tail").alias("cell"), "tail", "head", F.col("weight").cast("bigint").alias("weight"))
-    far = limit if limit is not None else 1 << 62
-
-    def settle(seeds: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
-        if seeds.empty:
-            return pd.DataFrame({"source": [], "node": [], "dist": [], "inside": []})
-        after = defaultdict(list)
-        for t, h, w in zip(inner["tail"].tolist(), inner["head"].tolist(), inner["weight"].tolist(), strict=True):
-            after[t].append((h, w))
-        own = int(seeds["cell"].iloc[0])
-        rows: list[tuple[int, int, int, bool]] = []
-        for source, part in seeds.groupby("source"):
-            best: dict[int, int] = {}
-            out: dict[int, int] = {}
-            heap = list(zip(part["dist"].tolist(), part["node"].tolist(), strict=True))
-            heapq.heapify(heap)
-            while heap:
-                d, v = heapq.heappop(heap)
-                if d >= best.get(v, 1 << 62):
-                    continue
-                best[v] = d
-                for h, w in after[v]:
-                    e = d + w
-                    if e > far:
-                        continue
-                    if h // cell_nodes != own:
-                        out[h] = min(e, out.get(h, 1 << 62))
-                    elif e < best.get(h, 1 << 62):
-                        heapq.heappush(heap, (e, h))
-            rows += [(source, v, d, True) for v, d in best.items()] + [(source, v, d, False) for v, d in out.items()]
-        return pd.DataFrame(rows, columns=["source", "node", "dist", "inside"])
-
-    seeds = sources.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("dist"))
-    state = None
+    kept, tables = Tables(seeds.sparkSession), Tables(seeds.sparkSession)
+    cells = kept.write(cells, f"{name}-cells")
+
+    def settle(frames):
+        for frame in frames:
+            rows: list[tuple[int, int, int, bool]] = []
+            for row in frame.itertuples(index=False):
+                steps = after(row) if row.tails is not None else {}
+                begin = defaultdict(list)
+                for source, node, value in zip(row.sources.tolist(), row.nodes.tolist(), row.values.tolist(), strict=True):
+                    begin[source].append((value, node))
+                for source, heap in begin.items():
+                    best: dict[int, int] = {}
+                    out: dict[int, int] = {}
+                    heapq.heapify(heap)
+                    while heap:
+                        d, v = heapq.heappop(heap)
+                        if d >= best.get(v, FAR):
+                            continue
+                        best[v] = d
+                        for h, change in steps.get(v, ()):
+                            e = change(d) if callable(change) else d + change
+                            if h // cell_nodes != row.cell:
+                                out[h] = min(e, out.get(h, FAR))
+                            elif e < best.get(h, FAR):
+                                heapq.heappush(heap, (e, h))
+                    rows += [(source, v, d, True) for v, d in best.items()] + [(source, v, d, False) for v, d in out.items()]
+            yield pd.DataFrame(rows, columns=["source", "node", "value", "inside"])
+
+    state, schema = None, "source bigint, node bigint, value bigint, inside boolean"
+    block = F.pmod(F.xxhash64("source"), F.lit(BLOCKS)).alias("block")
+    part = lambda c: F.transform("s", lambda x: x[c])
     while True:
-        work = seeds.withColumn("cell", cell("node"))
-        found = work.groupBy("cell").cogroup(graph.groupBy("cell")).applyInPandas(settle, "source bigint, node bigint, dist bigint, inside boolean")
+        work = seeds.groupBy(F.expr(f"node div {cell_nodes}").alias("cell"), block).agg(F.collect_list(F.struct("source", "node", "value")).alias("s"))
+        rows = work.select("cell", part("source").alias("sources"), part("node").alias("nodes"), part("value").alias("values")).join(cells, "cell", "left")
+        found = rows.mapInPandas(settle, schema)
         if state is not None:
             found = found.union(state.withColumn("inside", F.lit(True)))
         # a value that only came from outside its cell has to be settled there
-        merged = found.groupBy("source", "node").agg(F.min("dist").alias("dist"), F.min(F.when(F.col("inside"), F.col("dist"))).alias("known"))
-        merged = materialize(merged, "distances")
-        state = merged.select("source", "node", "dist")
-        seeds = merged.where("known is null or dist < known").select("source", "node", "dist")
+        merged = found.groupBy("source", "node").agg(F.min("value").alias("value"), F.min(F.when(F.col("inside"), F.col("value"))).alias("known"))
+        merged = tables.write(merged, name)
+        tables.drop(keep=1)
+        state = merged.select("source", "node", "value")
+        seeds = merged.where("known is null or value < known").select("source", "node", "value")
         if seeds.isEmpty():
+            kept.drop()
             return state
 
 
+def distances(arcs: DataFrame, sources: DataFrame, cell_nodes: int = CELL_NODES, limit: int | None = None) -> DataFrame:
+    """``source, node, dist`` of every node that each source reaches, by least ``weight`` of ``tail, head, weight``; ``limit`` caps distances."""
+    lists = F.collect_list(F.struct("tail", "head", F.col("weight").cast("bigint").alias("weight"))).alias("a")
+    part = lambda c: F.transform("a", lambda x: x[c])
+    cells = arcs.groupBy(F.expr(f"tail div {cell_nodes}").alias("cell")).agg(lists)
+    cells = cells.select("cell", part("tail").alias("tails"), part("head").alias("heads"), part("weight").alias("weights"))
+
+    def after(row) -> dict[int, list]:
+        steps = defaultdict(list)
+        for t, h, w in zip(row.tails.tolist(), row.heads.tolist(), row.weights.tolist(), strict=True):
+            steps[t].append((h, w))
+        return steps
+
+    seeds = sources.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("value"))
+    found = _rounds(cells, seeds, cell_nodes, after, "distances").withColumnRenamed("value", "dist")
+    return found if limit is None else found.where(F.col("dist") <= limit)
+
+
 def arrivals(arcs: DataFrame, sources: DataFrame, depart: int, period: int = 86_400_000, cell_nodes: int = CELL_NODES) -> DataFrame:
     """``source, node, arrival``: earliest arrivals over ``tail, head, ttf ARRAY<STRUCT<dt, tt>>`` when leaving at ``depart``.
 
     The same rounds over cells as ``distances``; a label is a time and an arc adds its travel time at that time, by integer
     interpolation. Functions must keep the order of departures.
     """
-    import bisect
-
-    graph = arcs.select(F.expr(f"tail div {cell_nodes}").alias("cell"), "tail", "head", F.transform("ttf", lambda p: p["dt"]).alias("dts"), F.transform("ttf", lambda p: p["tt"]).alias("tts"))
-
-    def settle(seeds: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, int, bool]] = []
-        after = defaultdict(list)
-        for t, h, dts, tts in zip(inner["tail"].tolist(), inner["head"].tolist(), inner["dts"], inner["tts"], strict=True):
-            after[t].append((h, list(dts), list(tts)))
-        for source, part in seeds.groupby("source"):
-            own = int(part["cell"].iloc[0])
-            best: dict[int, int] = {}
-            out: dict[int, int] = {}
-            heap = list(zip(part["arrival"].tolist(), part["node"].tolist(), strict=True))
-            heapq.heapify(heap)
-            while heap:
-                d, v = heapq.heappop(heap)
-                if d >= best.get(v, 1 << 62):
-                    continue
-                best[v] = d
-                for h, dts, tts in after[v]:
-                    t = d % period
-                    i = bisect.bisect_right(dts, t) - 1
-                    j = (i + 1) % len(dts)
-                    end = dts[j] if j else period
-                    e = d + int(tts[i] + (tts[j] - tts[i]) * (t - dts[i]) // (end - dts[i]))
-                    if h // cell_nodes != own:
-                        out[h] = min(e, out.get(h, 1 << 62))
-                    elif e < best.get(h, 1 << 62):
-                        heapq.heappush(heap, (e, h))
-            rows += [(source, v, d, True) for v, d in best.items()] + [(source, v, d, False) for v, d in out.items()]
-        return pd.DataFrame(rows, columns=["source", "node", "arrival", "inside"])
-
-    seeds = sources.select("source", F.col("source").alias("node"), F.lit(depart).cast("bigint").alias("arrival"))
-    state = None
-    while True:
-        work = seeds.withColumn("cell", F.expr(f"node div {cell_nodes}"))
-        found = work.groupBy("cell").cogroup(graph.groupBy("cell")).applyInPandas(settle, "source bigint, node bigint, arrival bigint, inside boolean")
-        if state is not None:
-            found = found.union(state.withColumn("inside", F.lit(True)))
-        merged = found.groupBy("source", "node").agg(F.min("arrival").alias("arrival"), F.min(F.when(F.col("inside"), F.col("arrival"))).alias("known"))
-        merged = materialize(merged, "arrivals")
-        state = merged.select("source", "node", "arrival")
-        seeds = merged.where("known is null or arrival < known").select("source", "node", "arrival")
-        if seeds.isEmpty():
-            return state
+    lists = F.collect_list(F.struct("tail", "head", F.transform("ttf", lambda p: p["dt"]).alias("dts"), F.transform("ttf", lambda p: p["tt"]).alias("tts"))).alias("a")
+    part = lambda c: F.transform("a", lambda x: x[c])
+    cells = arcs.groupBy(F.expr(f"tail div {cell_nodes}").alias("cell")).agg(lists)
+    cells = cells.select("cell", *[part(c).alias(f"{c}s" if c in ("tail", "head") else c) for c in ("tail", "head", "dts", "tts")])
+
+    def later(dts: list[int], tts: list[int]):
+        def arrive(d: int) -> int:
+            t = d % period
+            i = bisect.bisect_right(dts, t) - 1
+            j = (i + 1) % len(dts)
+            end = dts[j] if j else period
+            return d + int(tts[i] + (tts[j] - tts[i]) * (t - dts[i]) // (end - dts[i]))
+
+        return arrive
+
+    def after(row) -> dict[int, list]:
+        steps = defaultdict(list)
+        for t, h, dts, tts in zip(row.tails.tolist(), row.heads.tolist(), row.dts, row.tts, strict=True):
+            steps[t].append((h, later(list(map(int, dts)), list(map(int, tts)))))
+        return steps
+
+    seeds = sources.select("source", F.col("source").alias("node"), F.lit(depart).cast("bigint").alias("value"))
+    return _rounds(cells, seeds, cell_nodes, after, "arrivals").withColumnRenamed("value", "arrival")
 
 
 def nearest_targets(dist: DataFrame, targets: DataFrame, k: int) -> DataFrame:

@@ -59,17 +59,15 @@ def farthest_landmarks(arcs: DataFrame, first: int, k: int) -> list[int]:
     return chosen
 
 
-def via_candidates(ahead: DataFrame, back: DataFrame, stretch: float = 1.5, most: int = 24) -> DataFrame:
-    """``query_id, via, cost``: meeting nodes up to ``stretch`` times the best cost; of nodes with the same cost one, cheapest first.
+def via_candidates(ahead: DataFrame, back: DataFrame, stretch: float = 1.5) -> DataFrame:
+    """``query_id, via, cost``: meeting nodes up to ``stretch`` times the best cost; of nodes with the same cost the least.
 
     ``ahead``: ``query_id, node, dist`` from the source; ``back`` to the target.
     """
     both = ahead.join(back.select("query_id", "node", F.col("dist").alias("rest")), ["query_id", "node"]).withColumn("cost", F.col("dist") + F.col("rest"))
     best = Window.partitionBy("query_id")
     near = both.withColumn("best", F.min("cost").over(best)).where(F.col("cost") <= F.floor(F.col("best") * stretch))
-    one = near.groupBy("query_id", "cost").agg(F.min("node").alias("via"))
-    rank = F.row_number().over(best.orderBy("cost"))
-    return one.withColumn("n", rank).where(F.col("n") <= most).select("query_id", "via", "cost")
+    return near.groupBy("query_id", "cost").agg(F.min("node").alias("via")).select("query_id", "via", "cost")
 
 
 def accept_alternatives(candidates: DataFrame, k: int, sharing: float = 0.8) -> DataFrame:

@@ -41,12 +41,16 @@ def points_in_range(ttf: Column, start: Column, end: Column) -> Column:
     return F.concat(F.array(evaluate(ttf, start), evaluate(ttf, end)), F.transform(F.filter(ttf, inside), lambda p: p["tt"]))
 
 
-def average(ttf: Column, start: Column, end: Column) -> Column:
-    """Trapezoid mean over start .. end, truncated."""
+def area(ttf: Column, start: Column, end: Column) -> Column:
+    """Twice the area under the function from start to end."""
     points = F.array_sort(F.concat(F.array(F.struct(start.alias("dt"), evaluate(ttf, start).alias("tt")), F.struct(end.alias("dt"), evaluate(ttf, end).alias("tt"))), F.filter(ttf, lambda p: (p["dt"] > start) & (p["dt"] < end))))
     zero = F.lit(0).cast("bigint")
-    area = F.aggregate(F.sequence(F.lit(1), F.size(points) - 1), zero, lambda total, i: total + (F.get(points, i)["tt"] + F.get(points, i - 1)["tt"]) * (F.get(points, i)["dt"] - F.get(points, i - 1)["dt"]))
-    return F.floor(area / (2 * (end - start)))
+    return F.aggregate(F.sequence(F.lit(1), F.size(points) - 1), zero, lambda total, i: total + (F.get(points, i)["tt"] + F.get(points, i - 1)["tt"]) * (F.get(points, i)["dt"] - F.get(points, i - 1)["dt"]))
+
+
+def average(ttf: Column, start: Column, end: Column) -> Column:
+    """Trapezoid mean over start .. end, truncated."""
+    return F.floor(area(ttf, start, end) / (2 * (end - start)))
 
 
 def slopes(ttf: Column, period: int = DAY_MS) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.operators import paths, quality, routes
+from viaduct.operators import hierarchy, paths, quality, routes
 from viaduct.plans.registry import query
 from viaduct.plans.relational import LG, forbidden_turns, lg, row_paths
 from viaduct.plans.spatial_graph import FEW, few, one, relaxation, weighted
@@ -47,14 +47,15 @@ HUBS = "SELECT node_id AS source FROM nodes WHERE node_id % 401 = 3"
 REV = "(SELECT head AS tail, tail AS head, travel_time FROM arcs)"
 
 
-@query("j26_g25_hub_labels", f"{grid.WITH}, {relaxation(HUBS)}, {relaxation(HUBS, arcs=REV, name='back')}, p AS (SELECT c_custkey % 97 AS s, c_custkey % 89 + 100 AS t FROM customer GROUP BY 1, 2), m AS (SELECT s, t, b.d + f.d AS dist, b.source AS hub FROM p JOIN back b ON b.node = s JOIN dist f ON f.node = t AND f.source = b.source) SELECT s AS source, t AS target, min(dist) AS dist, arg_min(hub, dist * 100000 + hub) AS hub FROM m GROUP BY s, t")
+PAIRED = "p AS (SELECT c_custkey % 97 AS s, c_custkey % 89 + 100 AS t FROM customer GROUP BY 1, 2)"
+
+
+@query("j26_g25_hub_labels", f"{grid.WITH}, {PAIRED}, {relaxation('SELECT DISTINCT c_custkey % 97 AS source FROM customer')} SELECT s AS source, t AS target, d AS dist FROM p JOIN dist ON dist.source = s AND dist.node = t")
 def hub_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = weighted(spark, sf_dir)
-    hubs = grid.nodes(spark, sf_dir).where("node_id % 401 = 3").select(F.col("node_id").alias("source"))
-    back = arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")
-    labels = lambda g: paths.distances(g, hubs).withColumnRenamed("source", "hub")
+    """Labels are what a node reaches upwards in the contraction hierarchy; pairs meet in their best common hub."""
+    shortcuts = hierarchy.contract(weighted(spark, sf_dir).select("tail", "head", "weight"), hierarchy.order(grid.nodes(spark, sf_dir), 0.001), 3)
     wanted = grid.read(spark, sf_dir, "customer").selectExpr("c_custkey % 97 AS source", "c_custkey % 89 + 100 AS target").distinct()
-    return routes.hub_distances(wanted, labels(back), labels(arcs))
+    return hierarchy.distances(shortcuts, wanted).select("source", "target", "dist")
 
 
 @query("g05_landmark_bounds", f"{grid.WITH}, {relaxation(HUBS)}, p AS (SELECT c_custkey % 97 AS s, c_custkey % 89 + 100 AS t FROM customer GROUP BY 1, 2) SELECT s AS source, t AS target, greatest(0, max(b.d - a.d)) AS bound FROM p JOIN dist a ON a.node = s JOIN dist b ON b.node = t AND b.source = a.source GROUP BY s, t")
@@ -68,7 +69,7 @@ def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes from node 0 to a few targets: via nodes, their tree paths, and the greedy choice."""
     arcs = weighted(spark, sf_dir)
-    targets = grid.nodes(spark, sf_dir).where("node_id % 61 = 57 AND node_id < 200").select(F.col("node_id").alias("query_id"))
+    targets = few(spark, sf_dir).where("source > 0").select(F.col("source").alias("query_id"))
     ahead = paths.distances(arcs, one(spark))
     flipped = arcs.select("arc_id", F.col("head").alias("tail"), F.col("tail").alias("head"), "weight")
     back = paths.distances(flipped, targets.withColumnRenamed("query_id", "source"))

@@ -172,12 +172,13 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("f42_search_text", "SELECT doc_id, length(text) AS n, lower(strip_accents(substr(text, 1, 40))) AS folded FROM documents WHERE lang IN ('en', 'fr')")
+@query("f42_search_text", "SELECT doc_id, length(text) AS n, sha256(replace(lower(strip_accents(text)), 'ß', 'ss')) AS folded FROM documents")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of all rows, as digests."""
     from viaduct.functions.text import fold
 
-    docs = grid.read(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr"))
-    return docs.select("doc_id", F.length("text").cast("bigint").alias("n"), fold(F.substring("text", 1, 40)).alias("folded"))
+    docs = grid.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.length("text").cast("bigint").alias("n"), F.sha2(F.encode(fold(F.col("text")), "utf-8"), 256).alias("folded"))
 
 
 @query(

@@ -97,14 +97,14 @@ def shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.distances(weighted(spark, sf_dir), one(spark))
 
 
-@query("g15_g36_distance_matrix", f"{grid.WITH}, {relaxation(FEW)} SELECT source, node, d AS dist FROM dist WHERE node % 97 = 0")
+@query("g15_g36_distance_matrix", f"{grid.WITH}, {relaxation(FEW)} SELECT source, node, d AS dist FROM dist")
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.distances(weighted(spark, sf_dir), few(spark, sf_dir)).where("node % 97 = 0")
+    return paths.distances(weighted(spark, sf_dir), few(spark, sf_dir))
 
 
-@query("g20_nearest_targets", f"{grid.WITH}, {relaxation(FEW)} SELECT source, node, dist, rank FROM (SELECT source, node, d AS dist, row_number() OVER (PARTITION BY source ORDER BY d, node) AS rank FROM dist WHERE node % 13 = 5) WHERE rank <= 4")
+@query("g20_nearest_targets", f"{grid.WITH}, {relaxation(FEW)} SELECT source, node, dist, rank FROM (SELECT source, node, d AS dist, row_number() OVER (PARTITION BY source ORDER BY d, node) AS rank FROM dist WHERE node IN (SELECT s_suppkey * 13 FROM supplier)) WHERE rank <= 4")
 def nearest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = grid.nodes(spark, sf_dir).where("node_id % 13 = 5").select(F.col("node_id").alias("node"))
+    targets = grid.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 13).alias("node")).distinct()
     return paths.nearest_targets(paths.distances(weighted(spark, sf_dir), few(spark, sf_dir)), targets, 4)
 
 
@@ -114,25 +114,23 @@ def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.rank_nodes(dist).unionByName(paths.first_beyond(dist, 60_000).withColumn("rank", F.lit(-1).cast("bigint")))
 
 
-@query("g16_r02_paths", f"{grid.WITH}, {relaxation(ONE)}, tree AS (SELECT h.node, arg_min(a.tail, a.arc_id) AS parent FROM dist t JOIN arcs a ON a.tail = t.node JOIN dist h ON h.node = a.head AND h.d = t.d + a.travel_time GROUP BY h.node), up(target, node, hops) AS (SELECT node, node, CAST(0 AS BIGINT) FROM dist WHERE node % 211 = 7 UNION ALL SELECT target, parent, hops + 1 FROM up JOIN tree USING (node)) SELECT target, node, hops AS hops_to_target FROM up")
+@query("g16_r02_paths", f"{grid.WITH}, {relaxation(ONE)}, tree AS (SELECT h.node, arg_min(a.tail, a.arc_id) AS parent FROM dist t JOIN arcs a ON a.tail = t.node JOIN dist h ON h.node = a.head AND h.d = t.d + a.travel_time GROUP BY h.node), up(target, node, hops) AS (SELECT node, node, CAST(0 AS BIGINT) FROM dist UNION ALL SELECT target, parent, hops + 1 FROM up JOIN tree USING (node)) SELECT target, node, hops AS hops_to_target FROM up")
 def node_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = weighted(spark, sf_dir)
     dist = paths.distances(arcs, one(spark))
-    return paths.unpack(dist.where("node % 211 = 7"), paths.parents(dist, arcs)).select("target", "node", "hops_to_target")
+    return paths.unpack(dist, paths.parents(dist, arcs)).select("target", "node", "hops_to_target")
 
 
-@query("g21_a26_weak_components", f"{grid.WITH}, e AS (SELECT tail, head FROM arcs WHERE tail // 250 = head // 250), b AS (SELECT tail AS u, head AS v FROM e UNION SELECT head, tail FROM e), c(node, root) USING KEY (node) AS (SELECT u, min(u) FROM b GROUP BY u UNION SELECT b.v, min(c.root) FROM c JOIN b ON b.u = c.node LEFT JOIN recurring.c p ON p.node = b.v WHERE c.root < p.root GROUP BY b.v) SELECT node, root FROM c")
+@query("g21_a26_weak_components", f"{grid.WITH}, b AS (SELECT tail AS u, head AS v FROM arcs UNION SELECT head, tail FROM arcs), c(node, root) USING KEY (node) AS (SELECT u, min(u) FROM b GROUP BY u UNION SELECT b.v, min(c.root) FROM c JOIN b ON b.u = c.node LEFT JOIN recurring.c p ON p.node = b.v WHERE c.root < p.root GROUP BY b.v) SELECT node, root FROM c")
 def weak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.weak_components(grid.arcs(spark, sf_dir).where("tail div 250 = head div 250").select("tail", "head"))
+    return paths.weak_components(grid.arcs(spark, sf_dir).select("tail", "head"))
 
 
-SCC = "e AS (SELECT tail, head FROM arcs WHERE tail // 100 = head // 100 AND tail < 100 AND (head > tail OR tail % 3 = 0))"
-
-
-@query("g22_strong_components", f"{grid.WITH}, {SCC}, n AS (SELECT node_id FROM nodes WHERE node_id < 100), r(a, b) AS (SELECT node_id, node_id FROM n UNION SELECT r.a, e.head FROM r JOIN e ON e.tail = r.b) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query("g22_strong_components")
 def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = grid.arcs(spark, sf_dir).where("tail div 100 = head div 100 AND tail < 100 AND (head > tail OR tail % 3 = 0)").select("tail", "head")
-    return strong_roots(paths.strong_components(arcs, grid.nodes(spark, sf_dir).where("node_id < 100")))
+    """All nodes and arcs, two thirds of the nodes without their arcs to lesser ids; reach in SQL would be all pairs."""
+    arcs = grid.arcs(spark, sf_dir).where("head > tail OR tail % 3 = 0").select("tail", "head")
+    return strong_roots(paths.strong_components(arcs, grid.nodes(spark, sf_dir)))
 
 
 def strong_roots(found: DataFrame) -> DataFrame:
