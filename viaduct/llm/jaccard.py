@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.llm.batches import OWN, blocks, mix, release, strings, table, unused, with_id
@@ -444,13 +444,18 @@ def _rest(members: DataFrame, info: DataFrame, percent: int, forest: bool, total
     return dealt.mapInArrow(cells, "a bigint, b bigint").distinct()
 
 
+def _address(id_col: str, text_col: str) -> Column:
+    """A hash of id and text in which nulls are unlike empty ones."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col))
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, doc, n_shingles, cls, component_id, keeper``; ``doc`` addresses the row and ``cls`` its set.
 
     ``component_id`` is the component's least id, which is no key: ids may be null or repeated. ``keeper`` is the address of
     the component's row with the least id, nulls last, and of those the least address.
     """
-    address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+    address = _address(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), address.alias("doc"), F.col(text_col).alias("text"))
     tables = Tables(docs.sparkSession)
     sets = tables.write(_sets(rows, k), "jaccard-classes")
@@ -494,6 +499,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = join(docs, k, percent, id_col, text_col)
     name = unused("doc", docs.columns)
     kept = found.where("doc = keeper").select(F.col("doc").alias(name)).distinct()
-    address = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+    address = _address(id_col, text_col)
     # repeated rows are one before they meet the kept ones, so they are no hot key
     return docs.withColumn(name, address).dropDuplicates([name]).join(kept, name, "left_semi").select(*docs.columns)
