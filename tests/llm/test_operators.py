@@ -484,3 +484,19 @@ def test_texts_longer_than_a_block(spark):
     assert langid.predict(docs, langid.train(docs, F.lit(True))).count() == 3
     assert [x.n_words for x in licenses.scan(docs).orderBy("doc_id").collect()] == [720_000, 720_000, 720_002]
     assert audio.digest(audio.store(docs)).where(f"n_bytes >= {len(long)}").count() == 3
+
+
+def test_url_filter_on_hosts_it_has_not_counted(spark):
+    r = random.Random(61)
+    syllables = ["the", "ran", "mor", "lin", "est", "ton", "ver", "sal", "dor", "wen"]
+    good = ["".join(r.choice(syllables) for _ in range(3)) + r.choice([".net", ".fr", ".de"]) for _ in range(250)]
+    bad = [f"{a}-{b}{n}.net" for a in ("cheap", "best") for b in ("pills", "casino") for n in range(30)]
+    hosts = [h for h in good + bad for _ in range(4)]
+    pages = spark.createDataFrame([(i, f"http://{h}/{r.choice(['a', 'en', 'x'])}/{r.randrange(99)}") for i, h in enumerate(hosts)], "page_id bigint, url string")
+    verdicts = {}
+    for x in urlfilter.judge_urls(pages, {}).collect():
+        verdicts.setdefault(x.host, set()).add(x.verdict)
+    blocked = lambda names: sum(verdicts[h] == {"block"} for h in set(names)) / len(set(names))
+    assert blocked(bad) >= 0.95 and blocked(good) <= 0.02
+    wrong_reject, wrong_accept = urlfilter.evaluate(pages, {})
+    assert wrong_reject <= 0.02 and wrong_accept <= 0.05

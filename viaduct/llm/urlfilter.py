@@ -5,15 +5,17 @@ characters of host and path and an end mark. The probability of a character inte
 ``ORDER - 1``, p_o = (n(context, c) + s p_(o-1)) / (n(context) + s), so a context that was never seen
 leaves the shorter one's estimate. A URL is rejected if its log-likelihood difference a character is above a
 threshold that weighs the two error rates on a calibration fold (a fifth of the URLs, by their hash): a wrongly
-rejected URL counts ``CAUTION`` times as much as a wrongly accepted one.
+rejected URL counts ``CAUTION`` times as much as a wrongly accepted one. ``evaluate`` measures both rates with a fold of whole hosts, which the
+counts have not seen.
 
-Rejected URLs are those that a rule blocks, or whose host has one of the ``seeds`` while no rule allows it;
-all others are accepted ones. The counts are a table keyed by the very characters, which grows with the input and stays on the
+Rejected URLs are those whose host has one of the ``seeds`` while no rule allows it; accepted ones those that a rule allows, or that none blocks.
+A rule blocks a place, whatever its characters, so what it blocks teaches neither model, and no URL that a rule decides gets a verdict from them. The counts are a table keyed by the very characters, which grows with the input and stays on the
 executors. The threshold is set with the counts of the other four fifths; then the counts of all URLs score every
 URL. Both kinds of counts are columns of one table, and URLs meet it in a join that spreads hot grams. If a class has
 no URL, nothing more is blocked.
 
-A null URL, or one without ``://``, has an empty host and path: no rule fits it and it is allowed.
+A null URL, or one without ``://``, has an empty host and path: no rule fits it and it is allowed. Equal URLs are judged alike; each row is
+returned. A URL of any length is read whole. An empty table gives no row. Ids keep their type.
 """
 
 from __future__ import annotations
@@ -71,8 +73,8 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, sizes
 
 
-def positions(urls: DataFrame) -> DataFrame:
-    """``id, kind, code`` of every character of ``s``; ``kind`` is twice the label and 1 more in the calibration fold."""
+def positions(urls: DataFrame, fold: str = "s") -> DataFrame:
+    """``id, kind, code`` of every character of ``s``; ``kind`` is twice the label and 1 more in the calibration fold, a fifth by the hash of ``fold``."""
     schema = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("code", pa.int64())])
 
     def cut(batches):
@@ -81,7 +83,7 @@ def positions(urls: DataFrame) -> DataFrame:
             row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             yield table(schema, batch.column("id").take(row), batch.column("kind").take(row), code)
 
-    kind = (2 * F.col("label") + (F.pmod(F.xxhash64("s"), F.lit(5)) == 0).cast("int")).cast("int")
+    kind = (2 * F.col("label") + (F.pmod(F.xxhash64(fold), F.lit(5)) == 0).cast("int")).cast("int")
     return urls.select("id", kind.alias("kind"), "s").mapInArrow(cut, "id bigint, kind int, code bigint")
 
 
@@ -113,13 +115,25 @@ def differences(places: DataFrame) -> tuple[DataFrame, tuple]:
     return found.select("code", "n", *diff), tuple(totals)
 
 
-def threshold_of(calibration: DataFrame) -> float:
-    """The threshold that weighs both errors best, from ``label, score``."""
+def _bins(calibration: DataFrame) -> np.ndarray:
+    """How many scores of each label fall into each hundredth."""
     bins = np.zeros((2, BINS))
     at = F.least(F.greatest(F.floor(F.col("score") / 0.01 + BINS // 2), F.lit(0)), F.lit(BINS - 1)).cast("int")
     for label, place, n in calibration.groupBy("label", at.alias("place")).count().collect():  # at most 2 * BINS rows
         bins[label, place] = n
-    accepted, rejected = bins
+    return bins
+
+
+def error_rates(calibration: DataFrame, threshold: float) -> tuple[float, float]:
+    """The shares of accepted URLs above the threshold and of rejected ones up to it, of ``label, score``."""
+    wrong = calibration.groupBy("label").agg(F.avg((F.col("score") > threshold).cast("double")).alias("above"))
+    above = dict(wrong.collect())  # two rows
+    return above.get(0, 0.0), 1 - above.get(1, 1.0)
+
+
+def threshold_of(calibration: DataFrame) -> float:
+    """The threshold that weighs both errors best, from ``label, score``."""
+    accepted, rejected = _bins(calibration)
     if not (accepted.sum() and rejected.sum()):
         return 0.0
     # above bin b is rejected: the accepted above it and the rejected up to it, each as a share
@@ -128,16 +142,16 @@ def threshold_of(calibration: DataFrame) -> float:
     return (float(best[len(best) // 2]) - BINS // 2 + 1) * 0.01
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` of every URL; ``rules`` maps ``host/path`` to allow or block."""
+def _scored(pages: DataFrame, rules: dict[str, str], id_col: str, url_col: str, seeds: tuple[str, ...], fold: str = "s") -> tuple[DataFrame, DataFrame, float]:
+    """The URLs, their scores ``id, kind, fit, score`` and the threshold."""
     host, path = host_and_path(F.col("u"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")).select("page_id", host.alias("host"), path.alias("path"))
     urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("s", F.concat("host", "path"))
     decided = F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), F.col("rule")) if rules else F.lit(None).cast("string")
     seeded = F.col("host").rlike("|".join(seeds)) if seeds else F.lit(False)
-    urls = urls.withColumn("ruled", decided).withColumn("label", F.when(F.col("ruled") == "allow", 0).when((F.col("ruled") == "block") | seeded, 1).when(F.length("s") > 0, 0))
-    urls = materialize(urls.select(F.col("page_id").cast("bigint").alias("page_id"), "host", "path", "rule", "ruled", F.col("label").cast("int").alias("label"), "s", F.monotonically_increasing_id().alias("id")), "urls")
-    places = positions(urls)
+    urls = urls.withColumn("ruled", decided).withColumn("label", F.when(F.length("s") == 0, None).when(F.col("ruled") == "allow", 0).when(seeded, 1).when(F.col("ruled").isNull(), 0))
+    urls = materialize(urls.select("page_id", "host", "path", "rule", "ruled", F.col("label").cast("int").alias("label"), "s", F.monotonically_increasing_id().alias("id")), "urls")
+    places = positions(urls, fold)
     diffs, totals = differences(places)
     diffs = materialize(diffs, "url-differences")
     number = diffs.agg(F.sum("n")).first()[0] or 0
@@ -147,6 +161,18 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id",
     threshold = math.inf
     if totals[0] and totals[1]:
         threshold = threshold_of(scored.where("kind in (1, 3)").select(F.shiftright("kind", 1).alias("label"), F.col("fit").alias("score")))
+    return urls, scored, threshold
+
+
+def judge_urls(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """``page_id, host, path, rule, verdict, score`` of every URL; ``rules`` maps ``host/path`` to allow or block."""
+    urls, scored, threshold = _scored(pages, rules, id_col, url_col, seeds)
     found = urls.join(scored.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     verdict = F.coalesce("ruled", F.when((F.col("score") > threshold) & (F.length("s") > 0), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
+
+
+def evaluate(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", seeds: tuple[str, ...] = SEEDS) -> tuple[float, float]:
+    """The error rates on hosts that were not counted: wrongly rejected, wrongly accepted."""
+    _, scored, threshold = _scored(pages, rules, id_col, url_col, seeds, "host")
+    return error_rates(scored.where("kind in (1, 3)").select(F.shiftright("kind", 1).alias("label"), F.col("fit").alias("score")), threshold)
