@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,8 +37,33 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def _stage() -> int | None:
+    task = TaskContext.get()
+    return task.stageId() if task else None
+
+
+def _drop_others() -> None:
+    """Drop what another stage kept in this worker."""
+    if any(stage != _stage() for stage, _ in _kept):
+        _kept.clear()
+        gc.collect()
+        release()
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, shared by the tasks of one stage in a worker; the first ``blocks`` of another stage drop it."""
+    _drop_others()
+    if (_stage(), key) not in _kept:
+        _kept[_stage(), key] = make()
+    return _kept[_stage(), key]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text, or one row."""
+    _drop_others()
     try:
         for batch in batches:
             _, at = strings(batch.column(text))

@@ -131,26 +131,26 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
     def encode(batches):
         part, ids, held, size, block, before = TaskContext.get().partitionId(), [], [], 0, 0, 0
-        with tokens.encoder(name) as coder:
-            end = end_id.to_bytes(coder.width, "little")
-
-            def shard(kind):
-                row = [[part], [block], [before], [len(held)], [size], pa.array([ids], pa.list_(kind)), [write_shard(held, coder.width)]]
-                return table(SHARDS, *row)
-
-            for batch in blocks(batches, "text"):
-                kind = batch.column("id").type
-                for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    doc = coder.ids(text) + end
-                    if held and size + len(doc) // coder.width > shard_tokens:
-                        yield shard(kind)
-                        before, block = before + size, block + 1
-                        ids, held, size = [], [], 0
-                    ids.append(key)
-                    held.append(doc)
-                    size += len(doc) // coder.width
-            if held:
-                yield shard(kind)
+        coder = tokens.encoder(name)
+        end = end_id.to_bytes(coder.width, "little")
+
+        def shard(kind):
+            row = [[part], [block], [before], [len(held)], [size], pa.array([ids], pa.list_(kind)), [write_shard(held, coder.width)]]
+            return table(SHARDS, *row)
+
+        for batch in blocks(batches, "text"):
+            kind = batch.column("id").type
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                doc = coder.ids(text) + end
+                if held and size + len(doc) // coder.width > shard_tokens:
+                    yield shard(kind)
+                    before, block = before + size, block + 1
+                    ids, held, size = [], [], 0
+                ids.append(key)
+                held.append(doc)
+                size += len(doc) // coder.width
+        if held:
+            yield shard(kind)
 
     # a common id, or none, doesn't gather in one task: the texts' hash and a number of the row go on
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text"))

@@ -1,23 +1,21 @@
 """Token ids of whole texts, by a public tokenizer file.
 
 Encoding a text equals encoding its space-separated chunks one by one when no token may hold white
-space, so each distinct chunk is encoded once a task, or once a filling of its cache, and then looked up.
+space, so each distinct chunk is encoded once a worker and stage, or once a filling of its cache, and then looked up.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
-from contextlib import contextmanager
 
-from viaduct.llm.batches import release
+from viaduct.llm.batches import kept
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: What has to hold for chunks to be encoded alone: fixed values of the tokenizer file's own format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CHUNKS, PIECES = 300_000, 200_000  # cached entries a task; a full cache starts anew, and frequent ones soon return
+CHUNKS, PIECES = 300_000, 200_000  # cached entries a worker; a full cache starts anew, and frequent ones soon return
 
 
 def default_path() -> str:
@@ -94,13 +92,6 @@ class Encoder:
         return b"".join(out)
 
 
-@contextmanager
-def encoder(path: str):
-    """The encoder of one task. It goes when the task ends: workers outlive their tasks, and other stages need the memory."""
-    coder = Encoder(path)
-    try:
-        yield coder
-    finally:
-        del coder
-        gc.collect()
-        release()
+def encoder(path: str) -> Encoder:
+    """The encoder of one stage's tasks in a worker. It goes when another stage runs there, which needs the memory."""
+    return kept(path, lambda: Encoder(path))
