@@ -9,13 +9,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 from viaduct.llm.batches import kept
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: What has to hold for chunks to be encoded alone: fixed values of the tokenizer file's own format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CHUNKS, PIECES = 300_000, 200_000  # cached entries a worker; a full cache starts anew, and frequent ones soon return
+CHUNKS, PIECES = 300_000, 400_000  # cached entries a worker; a full cache starts anew, and frequent ones soon return
 
 
 def default_path() -> str:
@@ -54,7 +56,10 @@ class Encoder:
         self.unsafe = re.compile("[\x00-\x1f\x7f-\xa0İɐ-\U0010ffff]").search
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        packed = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -67,6 +72,11 @@ class Encoder:
         return got
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and len(chunk) <= 200:  # plain words, which need no further look
+            if chunk.isalpha():
+                return self._piece(chunk.lower())
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return self._piece(chunk[:-1].lower()) + self._piece(chunk[-1])
         if "<" in chunk and any(x in chunk for x in self.special) or self.unsafe(chunk) or len(chunk) > 200:
             return self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
         if chunk.isalpha():
