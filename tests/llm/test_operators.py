@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from viaduct.llm import audio, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, skew, tokenbin, tokens, urlfilter
+from viaduct.llm import audio, batches, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, skew, tokenbin, tokens, urlfilter
 from viaduct.llm.batches import BLOCK_BYTES, Doubling
 from viaduct.llm.words import Words, word_hashes
 
@@ -63,6 +63,17 @@ def test_encoder_is_the_tokenizer(rows):
         assert np.frombuffer(coder.ids(r[1]), np.uint16).tolist() == whole.encode(r[1] or "", add_special_tokens=False).ids
 
 
+def test_kept_lasts_for_a_stage(monkeypatch):
+    made, now = [], [1]
+    monkeypatch.setattr(batches, "_stage", lambda: now[0])
+    get = lambda: batches.kept("coder", lambda: made.append(now[0]) or len(made))
+    assert (get(), get(), made) == (1, 1, [1])
+    now[0] = 2
+    assert list(batches.blocks(iter([]), "text")) == [] and not batches._kept
+    assert (get(), made) == (2, [1, 2])
+    batches._kept.clear()
+
+
 def test_boundaries_round_trip():
     r = np.random.default_rng(3)
     for n, step in ((1, 1), (5, 0), (300, 3), (2000, 900), (700, 70_000)):
