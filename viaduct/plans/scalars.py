@@ -31,7 +31,7 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.arcs_with_ends(spark, sf_dir).select(
         "arc_id",
         milli(geo.haversine_m(*ends)).alias("haversine_mm"),
-        F.round(F.round(1000 * geo.spherical_m(*ends)) / 100).cast("bigint").alias("spherical_dm"),
+        F.rint(F.round(1000 * geo.spherical_m(*ends)) / 100).cast("bigint").alias("spherical_dm"),  # SQL casts halves to even
         F.round(10 * geo.bearing_deg(*ends)).cast("bigint").alias("bearing_tenths"),
     )
 
