@@ -1,5 +1,7 @@
 """Queries against their SQL on small tables that hold what only larger ones have, and plans at the size of larger ones."""
 
+import datetime
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -7,6 +9,9 @@ from test_queries import rows
 
 from viaduct.plans import catalog
 
+START = datetime.datetime(2024, 1, 1)
+
+
 def differences(spark, folder, name, **tables) -> None:
     con = duckdb.connect()
     for table, columns in tables.items():
@@ -23,5 +28,21 @@ def parts(keys) -> dict:
     return {"p_partkey": keys, "p_size": pa.array([k % 50 + 1 for k in keys], pa.int32()), "p_name": [f"part {k % 7}" for k in keys]}
 
 
+def events(rows) -> dict:
+    """From (microseconds after the start, value, k, event id modulo 4)."""
+    return {
+        "event_id": [4 * n + r[3] for n, r in enumerate(rows)],
+        "user_id": [0] * len(rows),
+        "ts": pa.array([START + datetime.timedelta(microseconds=r[0]) for r in rows], pa.timestamp("us")),
+        "value": [float(r[1]) for r in rows],
+        "props": [f'{{"k": {r[2]}}}' for r in rows],
+    }
+
+
 def test_halves_of_a_decimetre(spark, tmp_path):
     differences(spark, tmp_path, "f01_f04_distances", part=parts(range(2000, 2200)))
+
+
+def test_milliseconds_of_samples_are_rounded(spark, tmp_path):
+    samples = [(1_000_499, 10, 1, 3), (1_003_500, 1000, 1, 3), (1_007_501, 10, 1, 3), (1_009_999, 500, 1, 3)]
+    differences(spark, tmp_path, "a20_w15_gps_buckets", events=events(samples))

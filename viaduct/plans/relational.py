@@ -211,10 +211,10 @@ def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a20_w15_gps_buckets", "WITH e AS (SELECT user_id % 200 AS edge, epoch_ms(ts) AS t, value FROM events), g AS (SELECT *, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS gap FROM e WINDOW w AS (PARTITION BY edge ORDER BY t, value)) SELECT edge, t // 900000 AS bucket, count(*) AS samples, CAST(round(1000 * sum(value * gap) / sum(gap)) AS BIGINT) AS speed FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND sum(gap) > 0")
 def gps_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from viaduct.operators.timed import bucket_speeds
+    from viaduct.operators.timed import bucket_speeds, epoch_ms
 
-    samples = grid.read(spark, sf_dir, "events").select(F.expr("user_id % 200").alias("edge"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("speed"))
-    return bucket_speeds(samples).select("edge", "bucket", "samples", F.round(1000 * F.col("speed")).cast("bigint").alias("speed"))
+    samples = grid.read(spark, sf_dir, "events").select(F.expr("user_id % 200").alias("edge"), epoch_ms(F.col("ts")).alias("t"), F.col("value").alias("speed"))
+    return bucket_speeds(samples, unit=1000).select("edge", "bucket", "samples", F.round("speed").cast("bigint").alias("speed"))
 
 
 @query("a21_w05_runs", f"{grid.WITH}, c AS (SELECT way_id, arc_id, travel_time // 2000 AS level FROM arcs), r AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY way_id ORDER BY arc_id) THEN 0 ELSE 1 END AS fresh FROM c) SELECT way_id, arc_id, level FROM r WHERE fresh = 1")
