@@ -46,3 +46,8 @@ def test_halves_of_a_decimetre(spark, tmp_path):
 def test_milliseconds_of_samples_are_rounded(spark, tmp_path):
     samples = [(1_000_499, 10, 1, 3), (1_003_500, 1000, 1, 3), (1_007_501, 10, 1, 3), (1_009_999, 500, 1, 3)]
     differences(spark, tmp_path, "a20_w15_gps_buckets", events=events(samples))
+
+
+def test_halves_of_window_means(spark, tmp_path):
+    # the mean occupancy is 0.6125, but 1000 times the quotient of the sums is less than 612.5
+    differences(spark, tmp_path, "z02_a30_windows", events=events([(1, 10, 47, 1), (2, 20, 86, 3), (3, 30, 10, 2), (4, 40, 89, 2)]))

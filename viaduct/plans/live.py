@@ -24,8 +24,8 @@ def packet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("z02_a30_windows", f"WITH {RAW} SELECT edge, epoch_us(ts) // 30000000 * 30000 AS start_ms, count(*) AS n, CAST(round(1000 * sum(kmh * confidence) / sum(confidence)) AS BIGINT) AS kmh, CAST(round(1000 * sum(occupancy * confidence) / sum(confidence)) AS BIGINT) AS occupancy FROM v GROUP BY 1, 2")
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packets.windowed(packets.valid(raw(spark, sf_dir)))
-    return rows.select("edge", F.unix_millis("start").alias("start_ms"), "n", F.round(1000 * F.col("kmh")).cast("bigint").alias("kmh"), F.round(1000 * F.col("occupancy")).cast("bigint").alias("occupancy"))
+    rows = packets.windowed(packets.valid(raw(spark, sf_dir)), unit=1000)
+    return rows.select("edge", F.unix_millis("start").alias("start_ms"), "n", F.round("kmh").cast("bigint").alias("kmh"), F.round("occupancy").cast("bigint").alias("occupancy"))
 
 
 @query("z03_smoothing")

@@ -24,11 +24,14 @@ def valid(packets: DataFrame) -> DataFrame:
     return packets.where(ok)
 
 
-def windowed(packets: DataFrame) -> DataFrame:
-    """Tumbling windows of 30 seconds an edge: ``edge, start, n, kmh, occupancy, variance``, weighted by confidence."""
+def windowed(packets: DataFrame, unit: int = 1) -> DataFrame:
+    """Tumbling windows of 30 seconds an edge: ``edge, start, n, kmh, occupancy, variance``, means weighted by confidence, in ``unit`` parts.
+
+    Sums are scaled before the division, so that halves of a part stay halves.
+    """
     rows = packets.withWatermark("ts", LATE) if packets.isStreaming else packets
     w = F.sum("confidence")
-    mean = lambda c: F.sum(F.col(c) * F.col("confidence")) / w
+    mean = lambda c: unit * F.sum(F.col(c) * F.col("confidence")) / w
     out = rows.groupBy(F.window("ts", WINDOW), "edge").agg(F.count("*").alias("n"), mean("kmh").alias("kmh"), mean("occupancy").alias("occupancy"), F.coalesce(F.var_samp("kmh"), F.lit(0.0)).alias("variance"))
     return out.select("edge", F.col("window.start").alias("start"), "n", "kmh", "occupancy", "variance")
 
