@@ -18,9 +18,9 @@ def line_graph(arcs: DataFrame, forbidden: DataFrame | None = None, u_turn_ms: i
     after = arcs.select(F.col("arc_id").alias("to_arc"), F.col("tail").alias("via"), F.col("head").alias("next"), F.col("travel_time").alias("target_time"))
     pairs = arcs.select(F.col("arc_id").alias("from_arc"), "tail", "head").join(after, F.col("head") == F.col("via"))
     if forbidden is not None:
-        pairs = pairs.join(forbidden, ["from_arc", "to_arc"], "left_anti")
+        pairs = pairs.join(forbidden.hint("merge"), ["from_arc", "to_arc"], "left_anti")
     cost = F.when(F.col("tail") == F.col("next"), F.lit(u_turn_ms)).otherwise(F.lit(0)).cast("bigint")
-    return pairs.select("from_arc", "to_arc", cost.alias("turn_cost"), (F.col("target_time") + cost).alias("weight"))
+    return pairs.select("from_arc", "to_arc", cost.alias("turn_cost"), (F.col("target_time") + cost).alias("weight")).hint("merge")  # no arcs go through the driver
 
 
 def reverse(arcs: DataFrame) -> DataFrame:
