@@ -9,6 +9,7 @@ import pytest
 from test_queries import DIR, rows
 
 from viaduct.plans import catalog
+from viaduct.sources import osm
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -68,3 +69,12 @@ def test_no_arcs_are_broadcast(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan
     assert "BroadcastHashJoin" not in plan
+
+
+def test_junctions_of_long_ways(spark):
+    # by way, the pairs of the two long ways would be 600 million rows
+    members = spark.range(20_000).selectExpr("1L AS way_id", "id AS node").union(spark.range(20_000).selectExpr("2L", "id + 19999")).union(spark.createDataFrame([(3, 5), (3, 6), (4, 7)], "way_id long, node long"))
+    more = [(-1, 1, 3), (-2, 3, 2), (-3, 4, 4), (-4, 9, 1), (-5, 4, 9)]
+    pairs = spark.range(30_000).selectExpr("id AS pair_id", "1L AS a", "2L AS b").union(spark.createDataFrame(more, "pair_id long, a long, b long"))
+    found = dict(osm.way_junctions(pairs, members).collect())
+    assert found == {n: 19_999 for n in range(30_000)} | {-1: None, -2: None, -3: 7, -5: None}

@@ -119,8 +119,7 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = grid.arcs(spark, sf_dir)
     members = arcs.select("way_id", F.col("tail").alias("node")).union(arcs.select("way_id", "head")).distinct()
     pairs = arcs.select(F.col("arc_id").alias("pair_id"), F.col("way_id").alias("a"), F.expr("CASE WHEN arc_id % 3 = 0 THEN 1000000 + head % 50 ELSE (head + 50) div 50 END").alias("b"))
-    side = lambda c: pairs.select("pair_id", F.col(c).alias("way_id")).join(members, "way_id").select("pair_id", "node")
-    return loader.junctions(side("a"), side("b"))
+    return loader.way_junctions(pairs, members)
 
 
 RESTRICTED = "arcs2 AS (SELECT * REPLACE (way_id * 2 + CAST(antiparallel AS BIGINT) AS way_id) FROM arcs), rel AS (SELECT a.arc_id AS relation_id, a.way_id AS fw, a.head AS via, b.way_id AS tw, CASE WHEN a.arc_id % 2 = 0 THEN 'prohibitive' ELSE 'mandatory' END AS kind FROM arcs2 a JOIN arcs2 b ON b.tail = a.head AND b.way_id <> a.way_id AND b.head > b.tail WHERE a.arc_id % 9 = 0), f AS (SELECT relation_id, kind, count(*) AS n, min(x.arc_id) AS from_arc, min(y.arc_id) AS to_arc FROM rel JOIN arcs2 x ON x.way_id = fw AND x.head = via JOIN arcs2 y ON y.way_id = tw AND y.tail = via GROUP BY relation_id, kind)"
