@@ -43,7 +43,7 @@ def materialised(lg_paths: DataFrame, originals: DataFrame, arcs: DataFrame, tri
     arcs or one nothing is left but the node between them.
     """
     whole = Window.partitionBy("path_id")
-    rows = lg_paths.withColumn("n", F.count("*").over(whole)).join(originals, "lg_node").join(arcs.select("arc_id", "tail", "head"), "arc_id")
+    rows = lg_paths.withColumn("n", F.count("*").over(whole)).join(originals.hint("merge"), "lg_node").join(arcs.select("arc_id", "tail", "head"), "arc_id")
     inner = F.col("pos").between(1, F.col("n") - 2) if trimmed else F.lit(True)
     step = F.struct("pos", "arc_id", "tail", "head")
     out = rows.groupBy("path_id").agg(F.array_sort(F.collect_list(F.when(inner, step))).alias("s"), F.max("n").alias("n"), F.min_by("head", "pos").alias("first_head"))
