@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viaduct.functions import geo, osm
 from viaduct.session import Tables
+from viaduct.sources.osm import crossings
 
 #: Tags by priority, the conditional ones first: fixed values of the profiles.
 CAR_TAGS = (("restriction:motorcar:conditional", "restriction:conditional"), ("restriction:motorcar", "restriction"))
@@ -57,10 +58,9 @@ def corners(found: DataFrame, arcs: DataFrame, angles: bool = True) -> DataFrame
     """
     steps = _steps(_keyed(found))
     ends = arcs.select("way_id", F.col("tail").alias("node")).union(arcs.select("way_id", "head")).distinct()
-    shared = steps.select("key", "step", "way", "next_way").join(ends.withColumnRenamed("way_id", "way"), "way").join(ends.withColumnRenamed("way_id", "next_way"), ["next_way", "node"])
-    only = shared.groupBy("key", "step").agg(F.count("*").alias("n"), F.min("node").alias("only")).where("n = 1").drop("n")
+    only = crossings(ends).toDF("way", "next_way", "only")
     known = ends.select("node").distinct().withColumnRenamed("node", "via_node").withColumn("known", F.lit(True))
-    placed = steps.join(only, ["key", "step"], "left").join(known, "via_node", "left").withColumn("junction", F.when(F.col("known") & (F.col("vias") == 0), F.col("via_node")).otherwise(F.col("only"))).where("junction is not null")
+    placed = steps.join(only, ["way", "next_way"], "left").join(known.hint("merge"), "via_node", "left").withColumn("junction", F.when(F.col("known") & (F.col("vias") == 0), F.col("via_node")).otherwise(F.col("only"))).where("junction is not null")
     a = arcs.select(F.col("arc_id").alias("from_arc"), F.col("way_id").alias("way"), F.col("head").alias("junction"), "tail_lat", "tail_lng", F.col("head_lat").alias("via_lat"), F.col("head_lng").alias("via_lng"))
     b = arcs.select(F.col("arc_id").alias("to_arc"), F.col("way_id").alias("next_way"), F.col("tail").alias("junction"), F.col("head_lat").alias("b_lat"), F.col("head_lng").alias("b_lng"))
     pairs = placed.join(a, ["way", "junction"]).join(b, ["next_way", "junction"])
