@@ -6,8 +6,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_queries import DIR, rows
 
+from viaduct.operators import timed
 from viaduct.plans import catalog
 from viaduct.sources import osm
 
@@ -78,3 +80,15 @@ def test_junctions_of_long_ways(spark):
     pairs = spark.range(30_000).selectExpr("id AS pair_id", "1L AS a", "2L AS b").union(spark.createDataFrame(more, "pair_id long, a long, b long"))
     found = dict(osm.way_junctions(pairs, members).collect())
     assert found == {n: 19_999 for n in range(30_000)} | {-1: None, -2: None, -3: 7, -5: None}
+
+
+def test_interval_minima_evaluate_each_moment_once(spark):
+    functions = [[(0, 50), (30, 10), (70, 90)], [(0, 7)], [(0, 9), (99, 1)]]
+    spans = [(a, b) for a in range(0, 100, 7) for b in range(a + 1, 101, 13) if b < 100]
+    rows = spark.createDataFrame(list(enumerate(functions)), "id long, ttf array<struct<dt: bigint, tt: bigint>>")
+    found = timed.interval_minima(rows, spans, 100)
+    each = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in spans])
+    inside = lambda t: timed.evaluate(F.col("ttf"), F.col(t), 100)
+    points = F.concat(F.array(inside("a"), inside("b")), F.transform(F.filter("ttf", lambda p: p["dt"].between(F.col("a"), F.col("b"))), lambda p: p["tt"]))
+    wanted = rows.select("id", "ttf", F.inline(each)).select("id", "a", "b", F.array_min(points))
+    assert sorted(found.select("id", "span_start", "span_end", "least").collect()) == sorted(wanted.collect())

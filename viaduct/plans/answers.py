@@ -188,9 +188,7 @@ SPANS = [(start, start + hours) for start in range(6, 22) for hours in (1, 2, 4,
     m AS (SELECT arc_id, span_start, span_end, tt FROM e UNION ALL SELECT arc_id, a, b, tt FROM f JOIN s ON dt BETWEEN a AND b) SELECT arc_id, CAST(span_start AS BIGINT) AS span_start, CAST(span_end AS BIGINT) AS span_end, min(tt) AS least FROM m GROUP BY 1, 2, 3""",
 )
 def interval_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(a * HOUR).cast("bigint").alias("span_start"), F.lit(b * HOUR).cast("bigint").alias("span_end")) for a, b in SPANS])
-    rows = ttfs(spark, sf_dir).select("arc_id", "ttf", F.inline(each))
-    return rows.select("arc_id", "span_start", "span_end", F.array_min(timed.points_in_range(F.col("ttf"), F.col("span_start"), F.col("span_end"))).alias("least"))
+    return timed.interval_minima(ttfs(spark, sf_dir).select("arc_id", "ttf"), [(a * HOUR, b * HOUR) for a, b in SPANS]).select("arc_id", "span_start", "span_end", "least")
 
 
 @query("d17_window_averages", f"{grid.WITH}, {TTF}, v AS (SELECT arc_id, max(tt) FILTER (i = 0) AS p0, max(tt) FILTER (i = 1) AS p1, max(tt) FILTER (i = 2) AS p2, max(tt) FILTER (i = 5) AS p5 FROM f GROUP BY arc_id), x AS (SELECT *, p5 + CAST(floor((p0 - p5) * {2 * HOUR} / {STEP}::DOUBLE) AS BIGINT) AS u, p1 + CAST(floor((p2 - p1) * {HOUR} / {STEP}::DOUBLE) AS BIGINT) AS w FROM v) SELECT arc_id, ((u + p0) * {2 * HOUR} + (p0 + p1) * {STEP} + (p1 + w) * {HOUR}) // {2 * 7 * HOUR} AS night FROM x")
