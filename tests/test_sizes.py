@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import DIR, rows
 
-from viaduct.operators import timed
+from viaduct.operators import paths, timed
 from viaduct.plans import catalog
+from viaduct.session import Tables
 from viaduct.sources import osm
 
 START = datetime.datetime(2024, 1, 1)
@@ -82,6 +83,30 @@ def test_junctions_of_long_ways(spark):
     assert found == {n: 19_999 for n in range(30_000)} | {-1: None, -2: None, -3: 7, -5: None}
 
 
+def test_ancestors_are_marked_once(spark):
+    # a path of 20,000 nodes with every node a target: as pairs, 200 million rows
+    tree = spark.range(1, 20_000).selectExpr("0L AS source", "id AS node", "id - 1 AS parent")
+    end = spark.createDataFrame([(0, 19_999), (0, 7)], "source long, node long")
+    assert paths.with_ancestors(end, tree).count() == 20_000
+    assert paths.with_ancestors(tree, tree).count() == 20_000
+
+
+def test_rounds_keep_only_entries_of_cells(spark, monkeypatch):
+    # a chain over ten cells: what a round writes holds no node inside a cell
+    written = []
+    plain = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, frame, name: written.append(plain(self, frame, name).count()) or plain(self, frame, name))
+    arcs = spark.range(999).selectExpr("id AS tail", "id + 1 AS head", "1L AS weight")
+    found = paths.distances(arcs, spark.createDataFrame([(0,)], "source long"), 100)
+    assert dict(found.select("node", "dist").collect()) == {n: n for n in range(1000)}
+    assert max(written) <= 11
+
+
+def test_points_of_an_average_are_made_once(spark):
+    f = F.from_json(F.lit("[]"), "array<struct<dt: bigint, tt: bigint>>")
+    assert str(timed.area(f, F.lit(1), F.lit(9))).count("array_sort") == 1
+
+
 def test_interval_minima_evaluate_each_moment_once(spark):
     functions = [[(0, 50), (30, 10), (70, 90)], [(0, 7)], [(0, 9), (99, 1)]]
     spans = [(a, b) for a in range(0, 100, 7) for b in range(a + 1, 101, 13) if b < 100]

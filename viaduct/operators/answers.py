@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from viaduct.functions import geo
 from viaduct.functions.traffic import CLOSED
 from viaduct.operators import network, paths
+from viaduct.session import materialize
 
 MOST_ROUTES = 10
 
@@ -156,12 +157,14 @@ def sampled_subgraph(ttfs: DataFrame, source: DataFrame, targets: DataFrame, win
     from viaduct.functions import ttf
 
     hour, out = ttf.DAY_MS // 24, None
-    for start, end in windows:
-        metric = ttfs.select("arc_id", "tail", "head", ttf.average(F.col("ttf"), start * hour, end * hour).alias("weight"))
+    means = [ttf.average(F.col("ttf"), start * hour, end * hour).alias(f"w{i}") for i, (start, end) in enumerate(windows)]
+    metrics = materialize(ttfs.select("arc_id", "tail", "head", *means), "metrics").hint("merge")
+    for i in range(len(windows)):
+        metric = metrics.select("arc_id", "tail", "head", F.col(f"w{i}").alias("weight"))
         dist = paths.distances(metric, source)
-        tree = paths.parents(dist, metric)
-        on = paths.unpack(dist.join(targets.select("node"), "node", "left_semi"), tree).select("source", "node").distinct()
-        used = tree.join(on, ["source", "node"], "left_semi").select("arc_id")
+        tree = materialize(paths.parents(dist, metric), "tree")
+        on = paths.with_ancestors(dist.join(targets.select("node"), "node", "left_semi"), tree)
+        used = tree.join(on.hint("merge"), ["source", "node"], "left_semi").select("arc_id")
         out = used if out is None else out.union(used)
     return ttfs.join(out.distinct(), "arc_id", "left_semi")
 
@@ -180,9 +183,11 @@ def penalty_routes(arcs: DataFrame, queries: DataFrame, routes: int, percent: in
     for n in range(routes):
         keyed = copies.withColumn("arc_id", F.struct("query_id", "arc_id"))
         dist = paths.distances(copies, ends.select("source"))
-        tree = paths.parents(dist, keyed)
-        on = paths.unpack(dist.join(ends, ["source", "node"], "left_semi"), tree).select("source", "node").distinct()
-        used = tree.join(on, ["source", "node"], "left_semi").select("arc_id.query_id", "arc_id.arc_id")
+        tree = materialize(paths.parents(dist, keyed).join(dist, ["source", "node"]), "tree").hint("merge")
+        # of a path's nodes none is farther than its target
+        near = tree.join(dist.join(ends, ["source", "node"]).groupBy("source").agg(F.max("dist").alias("most")), "source").where("dist <= most")
+        on = paths.with_ancestors(ends, near)
+        used = materialize(tree.join(on.hint("merge"), ["source", "node"], "left_semi").select("arc_id.query_id", "arc_id.arc_id"), "used")
         found = used.join(own, ["query_id", "arc_id"]).select("query_id", F.lit(n).cast("bigint").alias("round"), "arc_id", "weight")
         out = found if out is None else out.union(found)
         dearer = used.withColumn("hit", F.lit(True))
