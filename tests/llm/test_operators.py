@@ -384,6 +384,32 @@ def test_line_dedup_planted_passages(spark):
     assert all(len(x[spans] or []) == (k % 3 > 0 and k < key) for k, x in found.items())
 
 
+def test_line_dedup_chunks_are_content_defined(spark):
+    r = random.Random(29)
+    line = lambda n: " ".join(f"v{r.randrange(10**9)}" for _ in range(n))
+    passage, other = [line(9) for _ in range(80)], [line(9) for _ in range(7)]
+    data = lambda rows: np.frombuffer("\n".join(rows).encode(), np.uint8)
+
+    def found(rows):
+        raw = data(rows)
+        text, begin, end, _, digest = linededup.lines(raw, np.array([0, len(raw)]))
+        number = linededup.chunks(text, digest)
+        return {raw[begin[number == c][0] : end[number == c][-1]].tobytes().strip() for c in np.unique(number)}
+
+    # lines put before and into a passage change the chunks around them only
+    moved = found([*other, *passage[:40], line(9), *passage[40:]])
+    assert 10 < len(found(passage)) < 40 and len(found(passage) - moved) <= 2
+    # a later chunk goes as a whole: no passage in it is looked at again, and what shares its chunk with foreign lines goes too
+    docs = spark.createDataFrame([(0, "\n".join(passage)), (1, "\n".join([*other, *passage, *other[::-1]]))], "doc_id bigint, text string")
+    rows = linededup.occurrences(docs).cache()
+    gone = linededup.later(rows.where("is_chunk"), "test-chunks").cache()
+    assert {x.doc_id for x in gone.collect()} == {1} and gone.count() > 5
+    left = linededup.uncovered(rows, gone).groupBy("doc_id").count().collect()
+    assert {x.doc_id: x["count"] for x in left}[0] == 79 and {x.doc_id: x["count"] for x in left}[1] < 79
+    kept = {x.doc_id: x.text for x in linededup.dedup_lines(docs)[0].collect()}
+    assert kept == {0: "\n".join(passage), 1: "\n".join([*other, *other[::-1]])}
+
+
 def test_keep_one_null_and_repeated_ids(spark):
     t = [" ".join(words(60, 900 + i, 10**6)) for i in range(6)]
     near = t[4] + " tail"
