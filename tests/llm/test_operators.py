@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from viaduct.llm import audio, batches, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, skew, tokenbin, tokens, urlfilter
+from viaduct.llm import audio, batches, components, decontam, jaccard, langid, licenses, linededup, packing, queries, repeats, skew, tokenbin, tokens, urlfilter
 from viaduct.llm.batches import BLOCK_BYTES, Doubling
 from viaduct.llm.words import Words, word_hashes
 
@@ -352,6 +352,46 @@ def test_cells_meet_all_that_are_apart(spark):
     assert want <= met
 
 
+def test_few_links_are_settled_at_once(spark, monkeypatch):
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(300, 400)] + [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(-5, 7), (7, 7)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    whole = lambda: {tuple(x) for x in components.components(links).collect()}
+    found, rounds = whole(), []
+    monkeypatch.setattr(components, "split_join", lambda *a: rounds.append(a) or skew.split_join(*a))
+    assert whole() == found and not rounds and (400, 300) in found and (7, -5) in found
+    monkeypatch.setattr(components, "FEW", 0)
+    assert whole() == found and rounds
+    assert components.components(links.limit(0)).count() == 0
+
+
+def test_signatures_without_pairs_left_out_are_done(spark, monkeypatch):
+    # 40 copies near to each other in a chain, and texts that share a passage only
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, shared, texts = [word() for _ in range(120)], [word() for _ in range(30)], []
+    for i in range(40):
+        base[3 * i] = word()
+        texts.append(" ".join(base))
+    texts += [" ".join(shared + [word() for _ in range(r.randrange(5, 60))]) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split(" ") for t in texts)]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert 1 < len(set(want)) < len(texts)
+    rounds, plain = [], jaccard._rest
+    monkeypatch.setattr(jaccard, "_rest", lambda *a: rounds.append(a[3]) or plain(*a))
+    for sparse in (2, 0):  # few pairs a member: one round; none: those that were left out have another
+        monkeypatch.setattr(jaccard, "SPARSE", sparse)
+        rounds.clear()
+        found = {x.doc_id: x.component_id for x in jaccard.join(docs, 4, 70).collect()}
+        assert [found[i] for i in range(len(texts))] == want
+        assert sparse == 0 or rounds == [True]
+
+
 def test_joins_of_hot_keys(spark):
     rows = spark.range(3000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))

@@ -205,7 +205,7 @@ def may_link(n: np.ndarray, sketch: Sketches, x: np.ndarray, y: np.ndarray, perc
     return x[ok], y[ok], far[ok]
 
 
-BROADCAST_ROWS, HEAVY, FORESTS = 500_000, 32, 1
+BROADCAST_ROWS, HEAVY, FORESTS, SPARSE = 500_000, 32, 1, 2
 SETS = pa.schema([("doc_id", OWN), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("coarse", pa.binary())])
 
 
@@ -394,11 +394,12 @@ def _cell_pairs(new: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def _rest(members: DataFrame, info: DataFrame, percent: int, forest: bool, total: int) -> DataFrame:
-    """Pairs of classes of different components under one signature that can link.
+    """``a, b, open``: pairs of classes of different components under one signature that can link, null for open.
 
-    ``forest``: only as many as join a batch's components, so that a large group of near copies costs a row a member.
+    ``forest``: where a batch has more than ``SPARSE`` of them a member, only as many as join its components, so that a large group of near copies
+    costs some rows a member. The signatures of pairs that were left out are ``open``, in rows of their own; the others are done.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("open", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         sig, i, j, role, cls, root, n = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "role", "cls", "root", "n"))
@@ -406,15 +407,19 @@ def _rest(members: DataFrame, info: DataFrame, percent: int, forest: bool, total
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         found = [np.zeros((3, 0), np.int64)]
+        still = np.zeros(0, np.int64)
         for x, y in _cell_pairs(new, role):
             apart = root[x] != root[y]
             found.append(np.stack(may_link(n, sketch, x[apart], y[apart], percent)))
-            if forest:
+            if forest and sum(f.shape[1] for f in found) > SPARSE * len(sig):
                 x, y, far = np.concatenate(found, axis=1)
                 keep = _forest(root, n, x, y, far)
+                still = np.union1d(still, sig[np.delete(x, keep)])
                 found = [np.stack([x[keep], y[keep], far[keep]])]
         x, y, _ = np.concatenate(found, axis=1)
-        return table(schema, *np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1))
+        a, b = np.unique(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]), axis=1)
+        none = lambda m: pa.nulls(m, pa.int64())
+        return table(schema, pa.concat_arrays([pa.array(a), none(len(still))]), pa.concat_arrays([pa.array(b), none(len(still))]), pa.concat_arrays([none(len(a)), pa.array(still)]))
 
     def cells(batches):
         held: list[pa.RecordBatch] = []
@@ -441,7 +446,7 @@ def _rest(members: DataFrame, info: DataFrame, percent: int, forest: bool, total
     keys = ("sig", "i", "j")
     described = _cells(members, total).join(info.select("cls", "n", F.col("coarse").alias("sketch")), "cls")
     dealt = described.repartition(n, *keys).sortWithinPartitions(*keys, F.col("role") == RIGHT, "cls")
-    return dealt.mapInArrow(cells, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(cells, "a bigint, b bigint, open bigint").distinct()
 
 
 def _address(id_col: str, text_col: str) -> Column:
@@ -474,12 +479,18 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         members = places.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
         members = tables.write(members, "jaccard-members")
         rest = tables.write(_rest(members, info, percent, forest, total), "jaccard-rest")
-        if rest.isEmpty():
+        pairs = rest.where("open is null").select("a", "b")
+        if pairs.isEmpty():
             break
-        more = tables.write(_verified(rest, rows, info, k, percent, tables), "jaccard-links")
+        more = tables.write(_verified(pairs, rows, info, k, percent, tables), "jaccard-links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
+        # only signatures with pairs that were left out are looked at again
+        still = rest.where("open is not null").select(F.col("open").alias("sig")).distinct()
+        if not forest or still.isEmpty():
+            break
+        places = tables.write(places.join(still, "sig", "left_semi"), "jaccard-places")
 
     # a class of many copies is a hot key
     of_class = tables.write(info.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "copies"), "jaccard-roots")
