@@ -16,7 +16,7 @@ from viaduct.plans.relational import LG, ROWS, forbidden_turns, lg, path_arcs
 from viaduct.plans.routes_files import PAIRS, pairs
 from viaduct.plans.spatial_graph import FEW, ONE, few, one, relaxation, weighted
 from viaduct.plans.turns_timed import STEP, TTF, ttfs
-from viaduct.session import shared_folder
+from viaduct.session import materialize, shared_folder
 from viaduct.sources import grid
 from viaduct.sources import osm as loader
 
@@ -230,7 +230,7 @@ def directed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g31_split_chains", f"{LG}, c AS (SELECT x.from_arc AS a, x.to_arc AS b, y.to_arc AS d, row_number() OVER (ORDER BY x.from_arc, x.to_arc, y.to_arc) AS n FROM lg x JOIN lg y ON y.from_arc = x.to_arc WHERE x.from_arc % 41 = 0 AND x.to_arc = x.from_arc + 4 AND y.to_arc = x.from_arc + 8), f AS (SELECT from_arc AS from_node, CASE WHEN EXISTS (SELECT 1 FROM c WHERE a = from_arc AND b = to_arc) THEN 100000000 + to_arc ELSE to_arc END AS to_node, weight FROM lg UNION ALL SELECT 100000000 + b, to_arc, weight FROM c JOIN lg ON from_arc = b AND to_arc <> d) SELECT CASE WHEN from_node >= 100000000 THEN from_node - 100000000 ELSE from_node END AS from_arc, CASE WHEN to_node >= 100000000 THEN to_node - 100000000 ELSE to_node END AS to_arc, from_node >= 100000000 AS from_split, to_node >= 100000000 AS to_split, weight FROM f")
 def split_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three arcs in a row to the right, from every 41st one on, may not follow each other."""
-    edges = lg(spark, sf_dir)
+    edges = materialize(lg(spark, sf_dir), "turns").hint("merge")  # read four times
     x = edges.where("from_arc % 41 = 0 AND to_arc = from_arc + 4").select("from_arc", "to_arc")
     y = edges.where("to_arc = from_arc + 4").select(F.col("from_arc").alias("to_arc"), F.col("to_arc").alias("last"))
     chains = x.join(y, "to_arc").select(F.col("from_arc").alias("chain_id"), F.array("from_arc", "to_arc", "last").alias("arcs"), F.lit(False).alias("mandatory"))
