@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_queries import DIR, rows
 
 from viaduct.operators import paths, timed
-from viaduct.plans import catalog
+from viaduct.plans import catalog, routes_files
 from viaduct.session import Tables
 from viaduct.sources import osm
 
@@ -117,3 +117,20 @@ def test_interval_minima_evaluate_each_moment_once(spark):
     points = F.concat(F.array(inside("a"), inside("b")), F.transform(F.filter("ttf", lambda p: p["dt"].between(F.col("a"), F.col("b"))), lambda p: p["tt"]))
     wanted = rows.select("id", "ttf", F.inline(each)).select("id", "a", "b", F.array_min(points))
     assert sorted(found.select("id", "span_start", "span_end", "least").collect()) == sorted(wanted.collect())
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_are_not_shuffled_by_a_handful_of_heads(spark):
+    # by head and side all orders would lie in ten keys
+    found = plan(routes_files.pairs(spark, DIR))
+    assert found.count("BroadcastHashJoin") == 2
+
+
+def test_sources_of_link_queries_are_made_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(paths, "distances", lambda arcs, sources: seen.append(plan(sources)) or spark.createDataFrame([], "source long, node long, dist long"))
+    catalog.QUERIES["r14_link_queries"](spark, DIR)
+    assert len(seen) == 1 and "orders.parquet" not in seen[0] and "Join" not in seen[0]

@@ -30,7 +30,8 @@ def turn_graph_costs(pairs: DataFrame, dist: DataFrame, edges: DataFrame, arcs:
     back = dist.join(edges.select(F.col("from_arc").alias("node"), F.col("to_arc").alias("source"), "weight"), ["source", "node"])
     cycles = back.groupBy("source").agg(F.min(F.col("dist") + F.col("weight")).alias("dist")).select(F.col("source").alias("src_arc"), F.col("source").alias("dst_arc"), "dist")
     ways = dist.where("source <> node").select(F.col("source").alias("src_arc"), F.col("node").alias("dst_arc"), "dist").unionByName(cycles)
-    rows = pairs.join(a, "src_arc").join(b, "dst_arc").join(ways, ["src_arc", "dst_arc"], "left")
+    both = pairs.select("src_arc", "dst_arc").distinct().join(a, "src_arc").join(b, "dst_arc").join(ways, ["src_arc", "dst_arc"], "left")
+    rows = pairs.join(both, ["src_arc", "dst_arc"])  # what two arcs have in common is joined once
     part = lambda p, share: geo.partial_cost(F.col(f"{p}_weight"), share, F.lit(1.0))
     direct = (F.col("src_arc") == F.col("dst_arc")) & (F.col("dst_t") >= F.col("src_t"))
     whole = F.col("dist") - F.col("dst_weight") + part("src", 1 - F.col("src_t")) + part("dst", F.col("dst_t"))
@@ -77,7 +78,8 @@ def link_costs(queries: DataFrame, arcs: DataFrame, updates: DataFrame, dist_of)
     from viaduct.operators import routes
 
     fresh = network.with_overrides(arcs, updates).where(F.col("weight") < CLOSED).select("arc_id", "weight").join(arcs.select("arc_id", "tail", "head"), "arc_id")
-    heads = queries.select(F.col("src_arc").alias("arc_id")).join(fresh, "arc_id").select(F.col("head").alias("source")).distinct()
+    # the rounds read their sources several times, and all queries would be made each time
+    heads = materialize(queries.select(F.col("src_arc").alias("arc_id")).distinct().join(fresh, "arc_id").select(F.col("head").alias("source")).distinct(), "heads")
     return routes.coordinate_costs(queries, dist_of(fresh, heads), fresh)
 
 

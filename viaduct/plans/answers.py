@@ -36,7 +36,8 @@ def turn_graph_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = grid.arcs(spark, sf_dir)
     edges = lg(spark, sf_dir)
     o = grid.read(spark, sf_dir, "orders").selectExpr("o_orderkey", "(o_orderkey % 5) * 5 * 17 AS head", "o_orderkey % 2 AS odd", "o_custkey % 50 AS tail", "(o_orderkey % 10) / 10.0D AS src_t", "(o_custkey % 10) / 10.0D AS dst_t")
-    s = o.join(arcs.select(F.col("arc_id").alias("src_arc"), "head", (F.col("tail") % 2).alias("odd")), ["head", "odd"])
+    # the arcs of 5 heads, as in pairs
+    s = o.join(F.broadcast(arcs.where("head % 85 = 0 AND head <= 340").select(F.col("arc_id").alias("src_arc"), "head", (F.col("tail") % 2).alias("odd"))), ["head", "odd"])
     p = s.withColumn("dst_arc", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN src_arc ELSE tail * 4 + 3 END")).select(F.col("o_orderkey").alias("query_id"), "src_arc", "src_t", "dst_arc", "dst_t")
     starts = arcs.join(o.select("head").distinct(), "head", "left_semi").select(F.col("arc_id").alias("source"))
     dist = paths.distances(edges.select(F.col("from_arc").alias("tail"), F.col("to_arc").alias("head"), "weight"), starts, 4 * paths.CELL_NODES)
