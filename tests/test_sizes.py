@@ -134,3 +134,7 @@ def test_sources_of_link_queries_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(paths, "distances", lambda arcs, sources: seen.append(plan(sources)) or spark.createDataFrame([], "source long, node long, dist long"))
     catalog.QUERIES["r14_link_queries"](spark, DIR)
     assert len(seen) == 1 and "orders.parquet" not in seen[0] and "Join" not in seen[0]
+
+
+def test_corners_of_chains_are_found_once(spark):
+    assert "ATAN2" not in plan(catalog.QUERIES["j24_via_way_chains"](spark, DIR))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions import geo, osm
-from viaduct.session import Tables
+from viaduct.session import Tables, materialize
 from viaduct.sources.osm import crossings
 
 #: Tags by priority, the conditional ones first: fixed values of the profiles.
@@ -97,20 +97,22 @@ def via_way_chains(found: DataFrame, arcs: DataFrame, most_steps: int = 1000) ->
     Between two junctions the via way is followed from arc to arc as long as exactly one of its arcs goes on (not back); a way that
     forks, ends or takes more than ``most_steps`` drops the restriction. One join a step for all chains at once.
     """
-    plain = found.where((F.col("condition") == "") & (F.size("via_ways") > 0))
-    at = corners(plain, arcs)
+    plain = materialize(found.where((F.col("condition") == "") & (F.size("via_ways") > 0)), "via-ways")
+    at = materialize(corners(plain, arcs), "corners").hint("merge")  # every step and the legs at the end read it
     ways = _steps(_keyed(plain)).select("key", "step", F.col("next_way").alias("way"))
     order = Window.partitionBy("key").orderBy("step")
     gaps = at.join(ways, ["key", "step"]).withColumn("target", F.lead("junction").over(order)).where("target is not null")
     heads = arcs.select(F.col("arc_id").alias("to_arc"), F.col("head").alias("here"))
     front = gaps.join(heads, "to_arc").select("key", "step", "way", "target", "here", F.array().cast("array<bigint>").alias("walked"))
     leaving = arcs.groupBy(F.col("way_id").alias("way"), F.col("tail").alias("here")).agg(F.count("*").alias("n"), F.min("arc_id").alias("next_arc"), F.min("head").alias("next_node")).where("n = 1").drop("n")
+    leaving = materialize(leaving.join(ways.select("way").distinct().hint("merge"), "way", "left_semi"), "leaving").hint("merge")
     done, tables = None, Tables(arcs.sparkSession)
+    front = tables.write(front, "chains")
     for _ in range(most_steps):
-        front = tables.write(front, "chains")
         there = front.where("here = target").select("key", "step", "walked")
         done = there if done is None else done.union(there)
         front = front.where("here <> target").join(leaving, ["way", "here"]).select("key", "step", "way", "target", F.col("next_node").alias("here"), F.concat("walked", F.array("next_arc")).alias("walked"))
+        front = tables.write(front, "chains")
         if front.isEmpty():
             break
     mandatory = _keyed(plain).select("key", (F.col("kind") == "mandatory").alias("mandatory")).distinct()
