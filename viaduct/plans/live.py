@@ -14,7 +14,7 @@ RAW = "p AS (SELECT user_id % 40 AS edge, ts, value AS kmh, CAST(json_extract_st
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return grid.read(spark, sf_dir, "events").select(F.expr("user_id % 40").alias("edge"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("kmh"), (k % 100 / 100.0).alias("occupancy"), F.expr("(event_id % 4 + 1) / 4.0D").alias("confidence"))
+    return grid.read(spark, sf_dir, "events").select("event_id", F.expr("user_id % 40").alias("edge"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("kmh"), (k % 100 / 100.0).alias("occupancy"), F.expr("(event_id % 4 + 1) / 4.0D").alias("confidence"))
 
 
 @query("z01_packet_filter", f"WITH {RAW} SELECT edge, count(*) AS packets FROM v GROUP BY edge")
@@ -24,7 +24,7 @@ def packet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("z02_a30_windows", f"WITH {RAW} SELECT edge, epoch_us(ts) // 30000000 * 30000 AS start_ms, count(*) AS n, CAST(round(1000 * sum(kmh * confidence) / sum(confidence)) AS BIGINT) AS kmh, CAST(round(1000 * sum(occupancy * confidence) / sum(confidence)) AS BIGINT) AS occupancy FROM v GROUP BY 1, 2")
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packets.windowed(packets.valid(raw(spark, sf_dir)), unit=1000)
+    rows = packets.windowed(packets.valid(raw(spark, sf_dir)), unit=1000, order="event_id")
     return rows.select("edge", F.unix_millis("start").alias("start_ms"), "n", F.round("kmh").cast("bigint").alias("kmh"), F.round("occupancy").cast("bigint").alias("occupancy"))
 
 

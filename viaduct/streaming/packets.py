@@ -24,15 +24,18 @@ def valid(packets: DataFrame) -> DataFrame:
     return packets.where(ok)
 
 
-def windowed(packets: DataFrame, unit: int = 1) -> DataFrame:
+def windowed(packets: DataFrame, unit: int = 1, order: str | None = None) -> DataFrame:
     """Tumbling windows of 30 seconds an edge: ``edge, start, n, kmh, occupancy, variance``, means weighted by confidence, in ``unit`` parts.
 
-    Sums are scaled before the division, so that halves of a part stay halves.
+    Sums are scaled before the division, so that halves of a part stay halves. Sums of doubles depend on their order: with a column
+    ``order`` the rows of a window are added one by one in its order, however the table is split (batches only).
     """
     rows = packets.withWatermark("ts", LATE) if packets.isStreaming else packets
+    if order:
+        rows = rows.withColumn("window", F.window("ts", WINDOW)).repartition("window", "edge").sortWithinPartitions("window", "edge", order)
     w = F.sum("confidence")
     mean = lambda c: unit * F.sum(F.col(c) * F.col("confidence")) / w
-    out = rows.groupBy(F.window("ts", WINDOW), "edge").agg(F.count("*").alias("n"), mean("kmh").alias("kmh"), mean("occupancy").alias("occupancy"), F.coalesce(F.var_samp("kmh"), F.lit(0.0)).alias("variance"))
+    out = rows.groupBy("window" if order else F.window("ts", WINDOW), "edge").agg(F.count("*").alias("n"), mean("kmh").alias("kmh"), mean("occupancy").alias("occupancy"), F.coalesce(F.var_samp("kmh"), F.lit(0.0)).alias("variance"))
     return out.select("edge", F.col("window.start").alias("start"), "n", "kmh", "occupancy", "variance")
 
 
