@@ -49,6 +49,11 @@ def test_halves_of_a_decimetre(spark, tmp_path):
     differences(spark, tmp_path, "f01_f04_distances", part=parts(range(2000, 2200)))
 
 
+def test_cosines_near_one(spark, tmp_path):
+    # at this latitude Java and C differ in the last bit
+    differences(spark, tmp_path, "f01_f04_distances", part=parts(range(224_750, 224_850)))
+
+
 def test_milliseconds_of_samples_are_rounded(spark, tmp_path):
     samples = [(1_000_499, 10, 1, 3), (1_003_500, 1000, 1, 3), (1_007_501, 10, 1, 3), (1_009_999, 500, 1, 3)]
     differences(spark, tmp_path, "a20_w15_gps_buckets", events=events(samples))

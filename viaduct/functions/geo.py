@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Radii in metres and metres a degree: fixed values of the formulas.
 RADIUS_M, SPHERE_M, DEGREE_M = 6_371_000.0, 6_371_000.785, 111_320.0
@@ -18,10 +22,21 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     return 2 * RADIUS_M * F.asin(F.sqrt(u * u + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * v * v))
 
 
+@F.pandas_udf(DoubleType())
+def _central_angle(a: pd.Series, b: pd.Series, d: pd.Series) -> pd.Series:
+    """By the C library, as SQL takes it: near 1 the arc cosine multiplies last bits, which Java's sines and cosines round otherwise."""
+
+    def angle(a: float, b: float, d: float) -> float:
+        if not (math.isfinite(a) and math.isfinite(b) and math.isfinite(d)):
+            return math.nan
+        return math.acos(max(-1.0, min(1.0, math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(d))))
+
+    return pd.Series([angle(*x) for x in zip(a.tolist(), b.tolist(), d.tolist(), strict=True)], dtype="float64")
+
+
 def spherical_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Spherical law of cosines; the cosine is clamped, so equal points are 0 apart."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    return SPHERE_M * F.acos(_clamped(F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lng1 - lng2)), -1.0, 1.0))
+    return SPHERE_M * _central_angle(F.radians(lat1), F.radians(lat2), F.radians(lng1 - lng2))
 
 
 def ellipsoid_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
