@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viaduct.functions import ttf
-from viaduct.operators import answers, paths, restrictions
+from viaduct.operators import answers, hierarchy, paths, restrictions
 from viaduct.sources import pbf
 
 DAY = ttf.DAY_MS
@@ -116,3 +116,24 @@ def test_strong_components_against_reach(spark, seed):
     nodes = spark.range(40).select(F.col("id").alias("node_id"))
     root = {x.node: x.root for x in paths.strong_components(spark.createDataFrame(sorted(pairs), "tail bigint, head bigint"), nodes).collect()}
     assert all((root[a] == root[b]) == (b in reach[a] and a in reach[b]) for a in range(40) for b in range(40))
+
+
+@pytest.mark.parametrize("dense", [0, 2000])
+def test_sweeps_against_rounds_of_cells(spark, monkeypatch, dense):
+    # a long strip beside a round line, whose nodes were a border of every piece; arcs that cross lines, and one without a way back
+    monkeypatch.setattr(hierarchy, "DENSE", dense)
+    monkeypatch.setattr(hierarchy, "TOGETHER", 2)
+    r = random.Random(1)
+    at = {n: (n // 5, 1022 + n % 5) for n in range(200)}
+    nodes = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in at.items()], "node_id long, lat double, lng double")
+    pairs = {(a, a + s) for a in at for s in (-5, -1, 1, 5) if a + s in at and r.random() < 0.8} | {(3, 150), (40, 11), (199, 0)}
+    arcs = spark.createDataFrame([(a, b, r.randrange(1, 50)) for a, b in sorted(pairs)], "tail long, head long, weight long")
+    ranks = hierarchy.order(nodes, 1.0)
+    assert ranks.agg(F.max(F.when(F.col("x") % 8 != 0, F.col("level")))).first()[0] <= 2
+    found, sources = hierarchy.rounds(arcs, ranks, 3), spark.createDataFrame([(n,) for n in (0, 7, 100, 199, 500)], "source long")
+    wanted = {(x.source, x.node): x.dist for x in paths.distances(arcs, sources).collect()}
+    assert {(x.source, x.node): x.dist for x in hierarchy.sweep(found, sources).collect()} == wanted
+    flipped = {(x.source, x.node): x.dist for x in paths.distances(arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), "weight"), sources).collect()}
+    targets = spark.createDataFrame([(3,), (50,), (198,), (500,)], "node long")
+    swept = {(x.source, x.node): x.dist for x in hierarchy.sweep(found, sources, targets, back=True).collect()}
+    assert swept == {k: v for k, v in flipped.items() if k[1] in (3, 50, 198, 500)}

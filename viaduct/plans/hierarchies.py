@@ -13,10 +13,8 @@ from viaduct.sources import grid
 
 @query("g07_g09_hierarchy_distances", f"{grid.WITH}, {relaxation(FEW)} SELECT source, node AS target, d AS dist FROM dist WHERE node IN (SELECT node_id FROM nodes)")
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order, contraction, customization and the query by labels (g06 to g11, j27); what g17 and g18 sweep is the same join."""
-    shortcuts = hierarchy.contract(weighted(spark, sf_dir).select("tail", "head", "weight"), hierarchy.order(grid.nodes(spark, sf_dir), 0.001), 3)
+    """Order, contraction, customization and the query by sweeps (g06 to g11, g17, g18, j27): labels of all nodes would repeat what they share above."""
+    found = hierarchy.rounds(weighted(spark, sf_dir).select("tail", "head", "weight"), hierarchy.order(grid.nodes(spark, sf_dir), 0.001), 3)
     targets = grid.nodes(spark, sf_dir).select(F.col("node_id").alias("target"))
-    # the sources are a stated handful; each meets all nodes
-    sources = few(spark, sf_dir).agg(F.collect_list("source").alias("ids"))
-    pairs = targets.join(F.broadcast(sources)).select(F.explode("ids").alias("source"), "target")
-    return hierarchy.distances(shortcuts, pairs).select("source", "target", "dist")
+    reached = hierarchy.sweep(found, few(spark, sf_dir)).withColumnRenamed("node", "target")
+    return reached.join(targets, "target", "left_semi").select("source", "target", "dist")
