@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import DIR, rows
 
-from viaduct.operators import paths, timed
+from viaduct.operators import hierarchy, paths, timed
 from viaduct.plans import catalog, routes_files
 from viaduct.session import Tables
 from viaduct.sources import osm
@@ -153,3 +153,12 @@ def test_sources_of_link_queries_are_made_once(spark, monkeypatch):
 
 def test_corners_of_chains_are_found_once(spark):
     assert "ATAN2" not in plan(catalog.QUERIES["j24_via_way_chains"](spark, DIR))
+
+
+def test_landmarks_are_swept_from_the_ends_of_pairs(spark, monkeypatch):
+    # landmarks grow with the network: from each of them, all nodes would be billions of rows at 1 GB
+    seen = []
+    monkeypatch.setattr(hierarchy, "rounds", lambda *_: [])
+    monkeypatch.setattr(hierarchy, "sweep", lambda found, sources, targets, back: seen.append((sources.count(), targets.count(), back)) or sources.selectExpr("source", "source AS node", "0L AS dist"))
+    catalog.QUERIES["g05_landmark_bounds"](spark, DIR)
+    assert len(seen) == 1 and 0 < seen[0][0] <= 186 and seen[0][1:] == (1, True)
