@@ -137,3 +137,25 @@ def test_sweeps_against_rounds_of_cells(spark, monkeypatch, dense):
     targets = spark.createDataFrame([(3,), (50,), (198,), (500,)], "node long")
     swept = {(x.source, x.node): x.dist for x in hierarchy.sweep(found, sources, targets, back=True).collect()}
     assert swept == {k: v for k, v in flipped.items() if k[1] in (3, 50, 198, 500)}
+
+
+@pytest.mark.parametrize("limit, borders", [(0, 0), (0, 4096), (20, 4096), (10_000, 4096)])
+def test_strong_components_of_cells(spark, monkeypatch, limit, borders):
+    # cycles through many cells, on a strip and by a few long arcs; forward and backward reach, levels of cells, or one task
+    monkeypatch.setattr(paths, "SETTLED", limit)
+    monkeypatch.setattr(paths, "BORDERS", borders)
+    reached = []
+    plain = paths.distances
+    monkeypatch.setattr(paths, "distances", lambda *x: reached.append(1) or plain(*x))
+    r = random.Random(limit)
+    pairs = {(v, v + 1) for v in range(399) if v % 90} | {(v, v - 1) for v in range(1, 400) if r.random() < 0.6} | {(350, 290), (170, 100), (399, 380), (20, 390)}
+    arcs = spark.createDataFrame(sorted(pairs), "tail long, head long")
+    root = {x.node: x.root for x in paths.strong_components(arcs, spark.range(401).select(F.col("id").alias("node_id")), 10).collect()}
+    after = {v: [h for t, h in pairs if t == v] for v in range(401)}
+    ahead = {}
+    for v in range(401):
+        ahead[v], todo = {v}, [v]
+        while todo:
+            todo += [h for h in after[todo.pop()] if h not in ahead[v] and not ahead[v].add(h)]
+    assert len(root) == 401 and bool(reached) == (borders == 0)
+    assert all((root[a] == root[b]) == (b in ahead[a] and a in ahead[b]) for a in range(401) for b in range(401))
