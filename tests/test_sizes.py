@@ -106,6 +106,30 @@ def test_ancestors_are_marked_once(spark):
     assert paths.with_ancestors(tree, tree).count() == 20_000
 
 
+def test_paths_are_not_written(spark, monkeypatch):
+    # a path of 3000 nodes that goes to and fro between cells, and 300 nodes beside: 4.5 million rows, of which none is kept
+    written = []
+    plain = paths.materialize
+    monkeypatch.setattr(paths, "materialize", lambda frame, name: written.append(plain(frame, name)) or written[-1])
+    spot = [(n * 7) % 3000 for n in range(3000)]
+    up = {spot[n]: spot[n - 1] for n in range(1, 3000)} | {3000 + n: spot[n * 9] for n in range(300)}
+    tree = spark.createDataFrame([(0, v, u) for v, u in up.items()], "source long, node long, parent long")
+    found = paths.unpack(spark.createDataFrame([(0, v) for v in [0, *up]], "source long, node long"), tree, 1000)
+    depth = {}
+    for v in [0, *up]:
+        steps, u = 0, v
+        while u in up:
+            u, steps = up[u], steps + 1
+        depth[v] = steps
+    assert found.count() == sum(n + 1 for n in depth.values())
+    assert sum(f.count() for f in written) < found.count() / 2
+    for v in (0, 1, 2999, 3299):
+        way = [v]
+        while way[-1] in up:
+            way.append(up[way[-1]])
+        assert sorted(found.where(F.col("target") == v).select("hops_to_target", "node").collect()) == list(enumerate(way))
+
+
 def test_rounds_keep_only_entries_of_cells(spark, monkeypatch):
     # a chain over ten cells: what a round writes holds no node inside a cell
     written = []
